@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import exact_dedup, quality_model, quality_rules, token_counts, virtual_slots
+from thicket.llm import exact_dedup, packing, quality_model, quality_rules, suffix_dedup, token_counts, virtual_slots
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 1024, 2)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,8 +45,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2048)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), 200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op4_quality_rules, op7_quality_classifier, op8_sharding, op9_token_counts)
+    f.__name__: f for f in (op3_exact_dedup, op4_quality_rules, op5_packing, op7_quality_classifier, op8_sharding, op9_token_counts, op10_suffix_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.sql(), "op4_quality_rules": quality_rules.sql()}
