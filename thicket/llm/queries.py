@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import exact_dedup, packing, quality_model, quality_rules, suffix_dedup, token_counts, virtual_slots
+from thicket.llm import exact_dedup, near_dedup, packing, quality_model, quality_rules, suffix_dedup, token_counts, virtual_slots
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), 80)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op4_quality_rules, op5_packing, op7_quality_classifier, op8_sharding, op9_token_counts, op10_suffix_dedup)
+    f.__name__: f for f in (op2_minhash_near_dedup, op3_exact_dedup, op4_quality_rules, op5_packing, op7_quality_classifier, op8_sharding, op9_token_counts, op10_suffix_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.sql(), "op4_quality_rules": quality_rules.sql()}
