@@ -22,11 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thicket.llm.components import join_back
 from thicket.llm.store import written
 
 SHARD = 1024  #: distinct digests in a shard of the index, about
 BUCKET = 4  #: digests that share a seed, about
-HOT = 1000  #: a group is hot if it has more than one in HOT of all rows, so at most HOT groups are
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -129,17 +129,6 @@ def merged(new: DataFrame, index: DataFrame) -> DataFrame:
     return members.unionByName(hits.where("found is null").select("digest", "best", "n"))
 
 
-def join_back(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """rows with the columns of their group. Hot groups, at most HOT of them, are broadcast; the others are joined by key.
-
-    groups has the number of its rows as ``n``.
-    """
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(groups.where(F.col("n") * HOT > F.lit(total)))
-    cold = groups.where(F.col("n") * HOT <= F.lit(total))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
-
-
 def exact_dedup(docs: DataFrame, first_load: Column | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row.
 
@@ -157,6 +146,12 @@ def exact_dedup(docs: DataFrame, first_load: Column | None = None) -> DataFrame:
     )
 
 
+def kept_documents(docs: DataFrame, first_load: Column | None = None) -> DataFrame:
+    """The rows and columns of docs whose text no better row has."""
+    kept = exact_dedup(docs, first_load).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi")
+
+
 def append_load(new_docs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of the new load that aren't repeats of the index or of each other, the index with this load)."""
     rows = written(digests(new_docs), "digests")

@@ -1,0 +1,91 @@
+"""Connected groups under links that are confirmed on whole contents.
+
+``ties`` give candidate groups in a number of rows linear in that of the nodes; inside a candidate group links are confirmed
+by breadth-first search: a node whose links are all known leaves, so that a group of mutually linked nodes costs one
+comparison each and pairs are never written. Groups of more than ``block`` nodes are searched by the cluster, in rounds.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from thicket.llm.store import written
+
+BLOCK = 4096
+SEEDS = 16
+
+#: Whether each of the other contents is linked with the first.
+Near = Callable[[bytes, list[bytes]], np.ndarray]
+
+
+def search(contents: list[bytes], near: Near) -> np.ndarray:
+    """The connected group of each content, numbered by its first member."""
+    label = np.full(len(contents), -1, np.int64)
+    left = np.arange(len(contents))
+    while len(left):
+        root, left = int(left[0]), left[1:]
+        label[root] = root
+        queue = [root]
+        while queue and len(left):
+            hit = near(contents[queue.pop()], [contents[i] for i in left])
+            label[left[hit]] = root
+            queue += left[hit].tolist()
+            left = left[~hit]
+    return label
+
+
+def _by_group(rows: DataFrame, near: Near) -> DataFrame:
+    kind = rows.schema["node"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        node = pdf["node"].to_numpy()
+        return pd.DataFrame({"node": node, "label": node[search(pdf["content"].tolist(), near)]})
+
+    return rows.groupBy("component").applyInPandas(run, f"node {kind}, label {kind}")
+
+
+def _by_rounds(rows: DataFrame, near: Near, seeds: int) -> DataFrame:
+    """Each round, all unvisited nodes meet up to ``seeds`` nodes of their group whose links aren't known yet."""
+    types = {c: rows.schema[c].dataType.simpleString() for c in ("component", "node")}
+    left = rows.select("component", "node", "content")
+    waiting = written(left.limit(0).withColumn("label", F.col("node")), "search-waiting")  # visited, links not known
+    found = waiting.select("node", "label")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own, against in zip(batch.column("content").to_pylist(), batch.column("seeds").to_pylist()):
+                out.append(next((s["label"] for s in against if near(s["content"], [own])[0]), None))
+            label = pa.array(out, batch.column("node").type)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("component", "node", "content")] + [label], names=["component", "node", "content", "label"])
+
+    while left.take(1):
+        order = F.row_number().over(Window.partitionBy("component").orderBy("node"))
+        some = waiting.withColumn("k", order).where(F.col("k") <= seeds).select("component", F.struct("node", "content", "label").alias("s"))
+        fresh = left.join(waiting.select("component").distinct(), "component", "left_anti").groupBy("component").agg(F.min(F.struct("node", "content")).alias("s"))
+        fresh = fresh.select("component", F.struct("s.node", "s.content", F.col("s.node").alias("label")).alias("s"))
+        chosen = written(some.unionByName(fresh), "search-seeds")
+        against = chosen.groupBy("component").agg(F.collect_list(F.struct("s.label", "s.content")).alias("seeds"))  # at most ``seeds`` contents
+        rest = left.join(chosen.select(F.col("s.node").alias("node")), "node", "left_anti").join(against, "component").select("component", "node", "content", "seeds")
+        met = written(rest.mapInArrow(meet, f"component {types['component']}, node {types['node']}, content binary, label {types['node']}"), "search-met")
+        left = met.where("label is null").select("component", "node", "content")
+        visited = waiting.join(chosen.select(F.col("s.node").alias("node")), "node", "left_anti").unionByName(met.where("label is not null").select("component", "node", "content", "label"))
+        found = written(found.unionByName(chosen.select("s.node", "s.label")).unionByName(met.where("label is not null").select("node", "label")).distinct(), "search-found")
+        waiting = written(visited.join(left.select("component").distinct(), "component", "left_semi"), "search-waiting")
+    return found
+
+
+def confirmed(rows: DataFrame, near: Near, block: int = BLOCK, seeds: int = SEEDS) -> DataFrame:
+    """node, label (a node of its connected group) of rows with component, group_n, node and content (binary); nodes are distinct."""
+    labels = _by_group(rows.where(F.col("group_n") <= block), near)
+    large = rows.where(F.col("group_n") > block)
+    if large.select("node").take(1):
+        labels = labels.unionByName(_by_rounds(written(large, "search-rows"), near, seeds))
+    return labels

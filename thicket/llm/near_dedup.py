@@ -20,19 +20,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.components import components, join_back
+from thicket.llm.groups import BLOCK, Near, confirmed
 from thicket.llm.store import dropped, written
 from thicket.llm.textbatch import cuts, mix, per_row, text_column, word_hashes, words_of
 
 ROWS, BANDS = 4, 24
-BLOCK = 4096
-SEEDS = 16
 BATCH_BYTES = 4 << 20
 _BITS = np.uint64(52)
 _LOW = (np.uint64(1) << _BITS) - np.uint64(1)
@@ -116,7 +114,7 @@ def sketches(docs: DataFrame, size: int = 2, rows: int = ROWS, bands: int = BAND
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, component, n and set (64-bit words) of the wanted nodes, from the row that stands for each."""
+    """node, component, group_n and content (its shingles) of the wanted nodes, from the row that stands for each."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
@@ -125,92 +123,20 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             at = np.cumsum(counts) - counts
             rows = [(i, x[a : a + c].tobytes()) for i, (a, c, node) in enumerate(zip(at, counts, part.column("node").to_pylist())) if names[i].tobytes() == node]
             take = pa.array([i for i, _ in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("node").take(take), part.column("component").take(take), part.column("group_n").take(take), pa.array([s for _, s in rows], pa.binary())], names=["node", "component", "group_n", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("node").take(take), part.column("component").take(take), part.column("group_n").take(take), pa.array([s for _, s in rows], pa.binary())], names=["node", "component", "group_n", "content"])
 
     keyed = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id"), "node", "component", "group_n"), "doc_id")
     # Several rows may have the id of the row that stands for a node.
-    return keyed.mapInArrow(make, "node binary, component binary, group_n long, shingles binary")
-
-
-def linked(seed: np.ndarray, x: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """For each set whether 100 * intersection with the seed >= percent * union."""
-    common = per_row(np.add, np.isin(x, seed, assume_unique=False).astype(np.int64), counts)
-    return 100 * common >= percent * (counts + len(seed) - common)
-
-
-def search(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The connected component of each set, numbered by a member, under links confirmed on full sets."""
-    n = len(sets)
-    label = np.full(n, -1, np.int64)
-    left = np.arange(n)
-    counts = np.array([len(s) for s in sets])
-    x = np.concatenate(sets) if n else np.zeros(0, np.uint64)
-    while len(left):
-        root = int(left[0])
-        label[root] = root
-        queue, alone = [root], left != root
-        x, left = x[np.repeat(alone, counts[left])], left[alone]
-        while queue and len(left):
-            seed = sets[queue.pop()]
-            own = counts[left]
-            near = (100 * np.minimum(own, len(seed)) >= percent * np.maximum(own, len(seed))).any() and linked(seed, x, own, percent)
-            if near is not False and near.any():
-                label[left[near]] = root
-                queue += left[near].tolist()
-                x, left = x[np.repeat(~near, own)], left[~near]
-    return label
-
-
-def _search_small(sets: DataFrame, percent: int) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node").sort_values("node")
-        label = search([np.frombuffer(s, np.uint64) for s in pdf["shingles"]], percent)
-        node = pdf["node"].to_numpy()
-        return pd.DataFrame({"node": node, "label": node[label]})
-
-    return sets.groupBy("component").applyInPandas(run, "node binary, label binary")
-
-
-def _search_large(sets: DataFrame, percent: int, seeds: int = SEEDS) -> DataFrame:
-    """The same for groups of any size: each round, all unvisited nodes meet up to ``seeds`` nodes of their group."""
-    left = written(sets.dropDuplicates(["node"]).select("component", "node", "shingles"), "search-left")
-    waiting = left.limit(0).select("component", "node", "shingles", F.col("node").alias("label"))
-    found = None
-    while True:
-        # Seeds: visited nodes whose links aren't known yet; in a group without any, its smallest unvisited node.
-        fresh = left.groupBy("component").agg(F.min(F.struct("node", "shingles")).alias("s"))
-        fresh = fresh.join(waiting.select("component").distinct(), "component", "left_anti").select("component", "s.node", "s.shingles", F.col("s.node").alias("label"))
-        some = waiting.groupBy("component").agg(F.slice(F.array_sort(F.collect_list("node")), 1, seeds).alias("take")) if found is not None else None
-        chosen = fresh
-        if some is not None:
-            chosen = fresh.unionByName(waiting.join(some, "component").where(F.array_contains("take", F.col("node"))).drop("take"))
-        chosen = written(chosen, "search-seeds")
-        if not chosen.take(1):
-            break
-        groups = chosen.groupBy("component").agg(F.collect_list(F.struct("label", "shingles")).alias("seeds"))  # at most ``seeds`` sets a group
-
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for own, against in zip(batch.column("shingles").to_pylist(), batch.column("seeds").to_pylist()):
-                    x = np.frombuffer(own, np.uint64)
-                    hit = next((s["label"] for s in against if linked(np.frombuffer(s["shingles"], np.uint64), x, np.array([len(x)]), percent)[0]), None)
-                    out.append(hit)
-                yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), batch.column("shingles"), pa.array(out, pa.binary())], names=["component", "node", "shingles", "label"])
-
-        rest = left.join(chosen.select("node"), "node", "left_anti").join(groups, "component")
-        met = rest.select("component", "node", "shingles", "seeds").mapInArrow(meet, "component binary, node binary, shingles binary, label binary")
-        met = written(met, "search-met")
-        done = chosen.select("node", "label")
-        found = written(done if found is None else found.unionByName(done), "search-found")
-        hits = met.where("label is not null").select("component", "node", "shingles", "label")
-        waiting = written(waiting.join(chosen.select("node"), "node", "left_anti").unionByName(hits), "search-waiting")
-        left = met.where("label is null").select("component", "node", "shingles")
-        # A group all of whose nodes were visited needs no more searching.
-        over = waiting.join(left.select("component").distinct(), "component", "left_anti")
-        found = written(found.unionByName(over.select("node", "label")), "search-found")
-        waiting = written(waiting.join(left.select("component").distinct(), "component", "left_semi"), "search-waiting")
-    return found if found is not None else left.select("node", F.col("node").alias("label"))
+    return keyed.mapInArrow(make, "node binary, component binary, group_n long, content binary")
+
+
+def _near(percent: int) -> Near:
+    def near(seed: bytes, others: list[bytes]) -> np.ndarray:
+        one, counts = np.frombuffer(seed, np.uint64), np.array([len(x) // 8 for x in others])
+        common = per_row(np.add, np.isin(np.frombuffer(b"".join(others), np.uint64), one).astype(np.int64), counts)
+        return 100 * common >= percent * (counts + len(one) - common)
+
+    return near
 
 
 def near_groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
@@ -226,12 +152,8 @@ def near_groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = R
     groups = written(components(ties), "candidate-groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     wanted = join_back(groups, sizes, "component").withColumnRenamed("n", "group_n").join(nodes.select("node", "rep"), "node")
-    sets = written(_sets(docs, wanted, size), "sets")
-    labels = _search_small(sets.where(F.col("group_n") <= block), percent)
-    large = sets.where(F.col("group_n") > block)
-    if large.select("node").take(1):
-        labels = labels.unionByName(_search_large(large, percent))
-    labels = written(labels, "labels")
+    sets = written(_sets(docs, wanted, size).dropDuplicates(["node"]), "sets")
+    labels = written(confirmed(sets, _near(percent), block), "labels")
     dropped(sets)
     own = nodes.select("node", "rep", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))

@@ -52,16 +52,16 @@ def _count(pattern: str) -> Column:
     return F.regexp_count("text", F.lit(pattern)).cast("long")
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts the features are made of, by whole text."""
+def counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The column ``key`` and the counts the features are made of, by whole text."""
     split = docs.select(
-        "doc_id",
+        key,
         F.filter(F.split(F.col("text"), SPACES), lambda w: w != "").alias("words"),
         F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.coalesce(_count(SYMBOL), F.lit(0)).cast("long").alias("n_symbols"),
     )
     none = F.array().cast("array<string>")
-    split = split.select("doc_id", F.coalesce("words", none).alias("words"), F.coalesce("lines", none).alias("lines"), "n_symbols")
+    split = split.select(key, F.coalesce("words", none).alias("words"), F.coalesce("lines", none).alias("lines"), "n_symbols")
     n = F.size("words")
     windows = F.when(
         n >= 3,
@@ -72,7 +72,7 @@ def counts(docs: DataFrame) -> DataFrame:
         ),
     ).otherwise(none)
     counted = split.select(
-        "doc_id",
+        key,
         n.cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -146,6 +146,12 @@ def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     )
 
 
+def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows and columns of docs that pass; judged where they are read, without a join."""
+    judged = counts(docs.select(F.struct(*docs.columns).alias("own_row"), "text"), "own_row")
+    return judged.where(~base_failed() & (F.size(compiled(rules)) == 0)).select("own_row.*")
+
+
 def sql(rules: Sequence[Rule] = RULES, table: str = "documents") -> str:
     """The same report as DuckDB SQL."""
     return f"""

@@ -71,10 +71,10 @@ def per_row(ufunc: np.ufunc, values: np.ndarray, counts: np.ndarray, empty=0) ->
     return out
 
 
-def pieces_before_space(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def pieces_before_space(column: pa.Array, space_table: np.ndarray = SPACE) -> tuple[pa.Array, np.ndarray]:
     """Each text cut before white space: runs of white space with the word that follows; (pieces, counts).
 
-    A cut comes before the first of a run of ASCII white space if what precedes it is an ASCII character
+    A cut comes before the first of a run of white space (bytes of space_table) if what precedes it is an ASCII character
     that isn't a control character, or a character whose UTF-8 form starts with 0xC3 (Latin letters).
     Tokenizers that split words at white space have a boundary there whatever surrounds it.
     """
@@ -82,7 +82,7 @@ def pieces_before_space(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     n = len(data)
     if not n:
         return pa.array([], pa.string()), np.zeros(len(column), np.int64)
-    space = SPACE[data]
+    space = space_table[data]
     start = np.zeros(n + 1, bool)
     before = data[:-1]
     plain = (before > 0x20) & (before < 0x7F)
