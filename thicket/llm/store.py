@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,4 +33,10 @@ def dropped(df: DataFrame) -> None:
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
-    jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what was written
+    tidied(df)
+
+
+def tidied(df: DataFrame) -> None:
+    """Let Spark drop the shuffle files that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.anchors import CHUNK, K, Fingerprints, anchored
-from thicket.llm.store import dropped, written
+from thicket.llm.store import dropped, tidied, written
 from thicket.llm.textbatch import cuts, mix, ranges, raw, text_column
 
 LENGTH = 200
@@ -141,7 +141,7 @@ class _Batch:
 
     def clear(self) -> None:
         self.ids, self.hashes, self.n_rows, self.n = [], [], 0, 0
-        self.columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+        self.columns: list[list[np.ndarray]] = [[], [], [], [], []]
 
     def rows(self, ids: pa.Array, hashes: pa.Array) -> int:
         """Add rows; the number of the first."""
@@ -151,7 +151,7 @@ class _Batch:
         return self.n_rows - len(ids)
 
     def entries(self, *columns: np.ndarray) -> None:
-        """key, sub, row, first window, last - first, anchor - first."""
+        """key, sub, row, first window, last - first; rows and windows in their order."""
         for have, more in zip(self.columns, columns):
             have.append(more)
         self.n += len(columns[0])
@@ -159,20 +159,23 @@ class _Batch:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return self.clear()
-        key, sub, row, at, width, off = (np.concatenate(c) for c in self.columns)
+        key, sub, row, at, width = (np.concatenate(c) for c in self.columns)
         ids, hashes = pa.concat_arrays(self.ids), pa.concat_arrays(self.hashes)
         batch = self.part << 24 | self.number
         self.number += 1
         self.clear()
         order, first, count = _distinct(key, sub)
         k, s = key[order][first], (sub[order][first] if len(sub) else np.zeros(len(first), np.uint64))
-        used, row = np.unique(row[order], return_inverse=True)
-        local = [x.tobytes() for x in (count.astype(np.uint32), row.astype(np.uint32), at[order].astype(np.uint32), width[order].astype(np.uint8), off[order].astype(np.uint8))]
-        out = [(*x, None, None, None, None, None) for x in _runs(batch, self.n_buckets, k, s, count)]
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.repeat(np.arange(len(first), dtype=np.uint32), count)
+        used, row = np.unique(row, return_inverse=True)
+        # In the rows' order; rows and positions as differences, which compress well.
+        local = [x.tobytes() for x in (rank, np.diff(row, prepend=0).astype(np.int32), np.diff(at, prepend=0).astype(np.int32), width.astype(np.uint8))]
+        out = [(*x, None, None, None, None) for x in _runs(batch, self.n_buckets, k, s, count)]
         out.append((batch, -1, None, None, None, *local))
-        names = ["batch", "bucket", "keys", "subs", "many", "count", "row", "at", "width", "off"]
-        types = [pa.int64(), pa.int32()] + [pa.binary()] * 8
-        columns = [pa.array([x[i] for x in out], types[i]) for i in range(10)]
+        names = ["batch", "bucket", "keys", "subs", "many", "rank", "row", "at", "width"]
+        types = [pa.int64(), pa.int32()] + [pa.binary()] * 7
+        columns = [pa.array([x[i] for x in out], types[i]) for i in range(9)]
         where = [None] * (len(out) - 1)
         for column in (ids.take(pa.array(used)), hashes.take(pa.array(used))):
             offsets = pa.array([0] * len(out) + [len(used)], pa.int32())
@@ -181,7 +184,7 @@ class _Batch:
 
 
 def _schema(kind: str) -> str:
-    return f"{_RUN}, count binary, row binary, at binary, width binary, off binary, ids array<{kind}>, hashes array<bigint>"
+    return f"{_RUN}, rank binary, row binary, at binary, width binary, ids array<{kind}>, hashes array<bigint>"
 
 
 def _suffixes(n_buckets: int, length: int) -> Callable:
@@ -206,11 +209,12 @@ def _suffixes(n_buckets: int, length: int) -> Callable:
                     f, row, s, e, a = anchored(text, starts, stops, length)
                     if not len(s):
                         continue
+                    # Anchors have small fingerprints, so these are scrambled once more to spread over the buckets.
                     sub = mix(f.of(s, e + length) ^ ((a - s) << 20 | (e - s)).astype(np.uint64))
                     at = s - starts[row]
                     if place:
                         row, at = row + place[0], at + place[1]
-                    own.entries(f.of(a, a + K), sub, row + base, at, e - s, a - s)
+                    own.entries(mix(~f.of(a, a + K)), sub, row + base, at, e - s)
                 if own.n >= FLUSH:
                     yield from own.flush()
         if own:
@@ -237,7 +241,7 @@ def _windows(n_buckets: int, length: int) -> Callable:
                         if len(here):
                             f = Fingerprints(data[a : a + CHUNK])
                             zero = np.zeros(len(here), np.int64)
-                            own.entries(f.of(here - a, here - a + length), np.zeros(0, np.uint64), zero + base + i, here, zero, zero)
+                            own.entries(f.of(here - a, here - a + length), np.zeros(0, np.uint64), zero + base + i, here, zero)
                             s = s[s > a + CHUNK - length]
                         if not len(s):
                             break
@@ -253,21 +257,20 @@ def _judged(family: DataFrame, kind: str, length: int, spill: str) -> DataFrame:
     """doc_id, th, full (repeated spans) and need (windows to compare) of the rows that have any."""
     codes = family.where("bucket >= 0").select("batch", "bucket", "keys", "subs", "many").groupBy("bucket").applyInPandas(_codes, "batch long, bucket int, codes binary")
     by_batch = codes.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "codes"))).alias("c"))  # a byte for each entry of the batch
-    local = family.where("bucket = -1").select("batch", "count", "row", "at", "width", "off", "ids", "hashes")
+    local = family.where("bucket = -1").select("batch", "rank", "row", "at", "width", "ids", "hashes")
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.itertuples():
             code = np.frombuffer(b"".join(x["codes"] for x in r.c), np.uint8)
-            count = np.frombuffer(r.count_, np.uint32).astype(np.int64)
-            row, at = np.frombuffer(r.row, np.uint32), np.frombuffer(r.at, np.uint32).astype(np.int64)
-            width = np.frombuffer(r.width, np.uint8).astype(np.int64)
-            each = np.repeat(code, count)
+            rank, width = np.frombuffer(r.rank, np.uint32), np.frombuffer(r.width, np.uint8).astype(np.int64)
+            row, at = np.cumsum(np.frombuffer(r.row, np.int32)), np.cumsum(np.frombuffer(r.at, np.int32), dtype=np.int64)
+            each = code[rank]
             first = np.zeros(len(each), bool)
-            first[np.cumsum(count) - count] = True
-            whole, need = (each & 1) == 1, (each == 2) | ((each == 3) & first)
-            order = np.lexsort((at, row))
-            order = order[whole[order] | need[order]]
+            shared = np.flatnonzero(each == 3)
+            first[shared[np.unique(rank[shared], return_index=True)[1]]] = True
+            whole, need = (each & 1) == 1, (each == 2) | first
+            order = np.flatnonzero(whole | need)
             rows, edges = np.unique(row[order], return_index=True)
             for i, x in zip(rows, np.split(order, edges[1:])):
                 w, n = x[whole[x]], x[need[x]]
@@ -275,7 +278,7 @@ def _judged(family: DataFrame, kind: str, length: int, spill: str) -> DataFrame:
                 out.append((r.ids[i], r.hashes[i], full.tobytes(), np.stack([at[n], width[n]]).astype(np.uint32).tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "th", "full", "need"])
 
-    joined = local.withColumnRenamed("count", "count_").join(by_batch, "batch")
+    joined = local.join(by_batch, "batch")
     spans = joined.groupBy("batch").applyInPandas(judge, f"doc_id {kind}, th long, full binary, need binary")
     # Repeated rows have equal spans, and at most one of them is asked for windows.
     return written(spans.groupBy("doc_id", "th").agg(F.max("full").alias("full"), F.max("need").alias("need")), spill)
@@ -293,11 +296,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     texts = hashed(docs)
     first = written(texts.mapInArrow(_suffixes(_buckets(2.2 * n_bytes / (length - K + 2)), length), _schema(kind)), "suffixes")
+    tidied(first)
     spans = _judged(first, kind, length, "spans")
     dropped(first)
     ask = spans.where("length(need) > 0").select("doc_id", "th", "need")
     n_windows = (ask.agg(F.sum(F.length("need"))).first()[0] or 0) / 8 * (length - K) / 2
     second = written(texts.join(ask, ["doc_id", "th"]).mapInArrow(_windows(_buckets(n_windows), length), _schema(kind)), "windows")
+    tidied(second)
     more = _judged(second, kind, length, "window-spans")
     dropped(second)
     return spans.select("doc_id", "th", "full").join(more.select("doc_id", "th", F.col("full").alias("more")), ["doc_id", "th"], "full")
