@@ -33,6 +33,7 @@ class _Tracer:
     def __init__(self, tables: dict[str, DataFrame] | None):
         self.of: dict[str, Provenance] = {}
         self.named: dict[tuple[str, ...], str] = {}
+        self.shared: dict[int, list[Provenance]] = {}  # of common table expressions
         for name, df in (tables or {}).items():
             for leaf in self._leaves(df._jdf.queryExecution().analyzed()):
                 self.named[self._source(leaf)] = name
@@ -48,6 +49,8 @@ class _Tracer:
         if kind == "LogicalRelation":
             location = leaf.relation().location() if hasattr(leaf.relation(), "location") else None
             return ("files", *sorted(p.toString() for p in _items(location.rootPaths()))) if location is not None else (leaf.relation().toString(),)
+        if kind == "LogicalRDD":
+            return (kind, str(leaf.rdd().id()))
         return (kind, *(f"{a.name()}#{a.exprId().id()}" for a in _items(leaf.output()))) if kind != "LocalRelation" else (kind, str(leaf.data().hashCode()), *(a.name() for a in _items(leaf.output())))
 
     @staticmethod
@@ -67,6 +70,13 @@ class _Tracer:
         kids = _items(plan.children())
         for k in kids:
             self.visit(k, view if len(kids) == 1 and kind in ("SubqueryAlias", "View", "Project") else None)
+        if kind == "CTERelationRef":
+            for a, p in zip(_items(plan.output()), self.shared.get(plan.cteId(), [])):
+                self.of[self._id(a)] = p
+            return
+        if kind == "CTERelationDef":
+            self.shared[plan.id()] = [self.of.get(self._id(a), UNRESOLVED) for a in _items(kids[0].output())]
+            return
         if not kids:
             table = self.named.get(self._source(plan)) or view
             for a in _items(plan.output()):

@@ -308,12 +308,12 @@ class Compiler:
         """The fetch function is called once, with all parents; its rows are matched by key columns."""
         parents = level.df.select(*[ref(x) for x in level.raw])
         fetched = c.child(parents)
+        if not isinstance(fetched, DataFrame) and not hasattr(fetched, "nested_df"):
+            fetched = level.df.sparkSession.createDataFrame(list(fetched))
         for change in c.changes:
             fetched = change(fetched)
         if hasattr(fetched, "nested_df"):
             fetched = fetched.nested_df()
-        elif not isinstance(fetched, DataFrame):
-            fetched = level.df.sparkSession.createDataFrame(list(fetched))
         name = f"{key}{SEPARATOR}"
         links = [f"{key}{SEPARATOR}{SEPARATOR}{i}" for i in range(len(c.match_child))]
         value = F.struct(*[ref(x) for x in fetched.columns])
