@@ -57,8 +57,19 @@ def _reversed(c: Column, kind: T.DataType) -> Column | None:
     return None
 
 
+def orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return orderable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
+
+
 def ordered_array(orders: list[Order], scope, kinds: list[T.DataType], value: Column) -> Column:
-    """collect_list of ``value`` in the given order; sorted natively where the types allow, else by a comparator."""
+    """collect_list of ``value`` in the given order; sorted natively where the types allow, else by a comparator.
+
+    kinds: the types of the orders' columns, and after them the value's.
+    """
     keys, native = [], True
     for i, (o, kind) in enumerate(zip(orders, kinds)):
         c = o.column(scope)
@@ -70,6 +81,8 @@ def ordered_array(orders: list[Order], scope, kinds: list[T.DataType], value: Co
     if not keys:
         return F.collect_list(value)
     pairs = F.collect_list(F.struct(F.struct(*keys).alias("order"), value.alias("value")))
+    if native and len(kinds) > len(orders) and orderable(kinds[-1]):
+        return F.transform(F.sort_array(pairs), lambda x: x["value"])  # values decide only between equal keys
     if native:
         # Values may not be orderable, so their places are sorted with the keys.
         placed = F.transform(pairs, lambda x, i: F.struct(x["order"].alias("order"), i.alias("at")))

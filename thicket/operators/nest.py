@@ -118,7 +118,7 @@ class NestSpec(ShapeMethods):
             value = struct_of(child._out(scope, [c for c in child._own(df, prefix + under)], child._collected(kids)))
             orders = child._orders() if sort != "none" else []
             columns = [o.column(scope) for o in orders] + [ref(_AT)]
-            kinds = [f.dataType for f in kids.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).schema]
+            kinds = [f.dataType for f in kids.select(*[c.alias(f"c{i}") for i, c in enumerate([*columns, value])]).schema]
             array = ordered_array([*orders, Order(lambda _: ref(_AT))], scope, kinds, value).alias(f"__many{SEPARATOR}{key}")
             links = {c: f"__on{SEPARATOR}{i}" for i, c in enumerate(by)}
             lists = kids.groupBy(*[ref(c).alias(n) for c, n in links.items()]).agg(array)

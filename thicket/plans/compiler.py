@@ -224,7 +224,7 @@ class Compiler:
             self._theta(level, key, c, child, value, orders)
 
     def _listed(self, child: Level, value: Column, orders: list[Order]) -> Column:
-        return ordered_array(orders, child.scope(), _kinds(child.df, [o.column(child.scope()) for o in orders]), value)
+        return ordered_array(orders, child.scope(), _kinds(child.df, [*(o.column(child.scope()) for o in orders), value]), value)
 
     def _cross(self, level: Level, key: str, child: Level, value: Column, orders: list[Order]) -> None:
         """Every parent gets the same array, made once; a cross-joined relation is meant to be small."""
@@ -294,7 +294,7 @@ class Compiler:
         by = [ref(k).alias(f"__key{i}") for i, k in enumerate(keys)]
         join = lambda df: level.df.join(df, [ref(k) == F.col(f"__key{i}") for i, k in enumerate(keys)], how).drop(*[f"__key{i}" for i in range(len(keys))])
         if c.mode == "many":
-            lists = met.groupBy(*by).agg(ordered_array(orders, scope, _kinds(met, [o.column(scope) for o in orders]), F.col("__value")).alias(name))
+            lists = met.groupBy(*by).agg(ordered_array(orders, scope, _kinds(met, [*(o.column(scope) for o in orders), F.col("__value")]), F.col("__value")).alias(name))
             level.df = join(lists)
             level.results[key] = F.coalesce(ref(name), F.array().cast(lists.schema[name].dataType)) if how == "left" else ref(name)
             return
