@@ -2,11 +2,8 @@
 
 Each permutation of a document's shingle set keeps both its minimum and its maximum, each of which agrees between two sets
 with their Jaccard similarity as the probability, so half the hash evaluations give as many values. Bands of ROWS
-values name buckets. Documents with equal sets are one node; a bucket ties its nodes to its smallest, which gives candidate
-groups in a number of rows linear in that of the documents. Inside a candidate group links are confirmed on full sets by
-breadth-first search: a node whose links are all known leaves, so copies of one text cost one comparison each and no
-pairs are written. Groups of more than BLOCK nodes are searched by the cluster, in rounds, over blocks of
-their nodes.
+values name buckets. Documents with equal sets are one node. Of the nodes that share buckets links are confirmed on full sets
+without writing all pairs (see ``linked``), in buckets of any size.
 
 A link that shares no band is missed: (1 - 0.8 ** ROWS) ** BANDS = 3e-6 of those with similarity 0.8, fewer above.
 
@@ -25,8 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.components import components, join_back
-from thicket.llm.groups import BLOCK, Near, confirmed
+from thicket.llm.components import join_back
+from thicket.llm.linked import Linked, linked_groups
 from thicket.llm.store import dropped, written
 from thicket.llm.textbatch import cuts, mix, per_row, text_column, word_hashes, words_of
 
@@ -49,11 +46,12 @@ def shingles(column: pa.Array, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
     # Of a text with fewer words than a shingle, the whole sequence is the only one.
     valid = at + size <= ends
     doc = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
-    for d in np.flatnonzero((counts > 0) & (counts < size)).tolist():
-        a = int(counts[:d].sum())
-        v = np.uint64(int(counts[d]))
-        for h in w[a : a + int(counts[d])]:
-            v = mix(np.array([v * np.uint64(0xC2B2AE3D27D4EB4F) + h]))[0]
+    starts = np.cumsum(counts) - counts
+    for k in range(1, size):
+        a = starts[counts == k]
+        v = np.full(len(a), k, np.uint64)
+        for i in range(k):
+            v = mix(v * np.uint64(0xC2B2AE3D27D4EB4F) + w[a + i])
         x[a], valid[a] = v, True
     key = np.sort(doc[valid] << _BITS | (x[valid] & _LOW))
     if len(key):
@@ -114,7 +112,7 @@ def sketches(docs: DataFrame, size: int = 2, rows: int = ROWS, bands: int = BAND
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, component, group_n and content (its shingles) of the wanted nodes, from the row that stands for each."""
+    """node and content (its shingles) of the wanted nodes, from the row that stands for each."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
@@ -123,23 +121,26 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             at = np.cumsum(counts) - counts
             rows = [(i, x[a : a + c].tobytes()) for i, (a, c, node) in enumerate(zip(at, counts, part.column("node").to_pylist())) if names[i].tobytes() == node]
             take = pa.array([i for i, _ in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("node").take(take), part.column("component").take(take), part.column("group_n").take(take), pa.array([s for _, s in rows], pa.binary())], names=["node", "component", "group_n", "content"])
+            yield pa.RecordBatch.from_arrays([part.column("node").take(take), pa.array([s for _, s in rows], pa.binary())], names=["node", "content"])
 
-    keyed = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id"), "node", "component", "group_n"), "doc_id")
+    keyed = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id"), "node"), "doc_id")
     # Several rows may have the id of the row that stands for a node.
-    return keyed.mapInArrow(make, "node binary, component binary, group_n long, content binary")
+    return keyed.mapInArrow(make, "node binary, content binary")
 
 
-def _near(percent: int) -> Near:
-    def near(seed: bytes, others: list[bytes]) -> np.ndarray:
-        one, counts = np.frombuffer(seed, np.uint64), np.array([len(x) // 8 for x in others])
-        common = per_row(np.add, np.isin(np.frombuffer(b"".join(others), np.uint64), one).astype(np.int64), counts)
-        return 100 * common >= percent * (counts + len(one) - common)
+def _linked(percent: int) -> Linked:
+    def linked(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            return False
+        both = np.sort(np.concatenate([x, y]), kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return 100 * common >= percent * (len(x) + len(y) - common)
 
-    return near
+    return linked
 
 
-def near_groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     table = written(sketches(docs, size, rows, bands), "sketches")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -147,13 +148,11 @@ def near_groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = R
         table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"), F.count("*").alias("n")), "nodes"
     )
     members = nodes.select("node", F.explode("buckets").alias("bucket"))
-    leaders = written(members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
-    ties = join_back(members, leaders, "bucket").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
-    groups = written(components(ties), "candidate-groups")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    wanted = join_back(groups, sizes, "component").withColumnRenamed("n", "group_n").join(nodes.select("node", "rep"), "node")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(join_back(members, shared, "bucket").select("bucket", "node"), "members")
+    wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     sets = written(_sets(docs, wanted, size).dropDuplicates(["node"]), "sets")
-    labels = written(confirmed(sets, _near(percent), block), "labels")
+    labels = written(linked_groups(members, sets, _linked(percent)), "labels")
     dropped(sets)
     own = nodes.select("node", "rep", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
