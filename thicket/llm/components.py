@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.store import dropped, written
 
+AT_ONCE = 200_000  #: edges, at most 32 bytes each
 HOT = 1000  #: a key is hot if it has more than one in HOT of all rows, so at most HOT keys are
 
 
@@ -37,9 +39,36 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return tied.where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node of the edges u, v; nodes may be of any orderable type."""
+def _at_once(edges: DataFrame) -> DataFrame:
+    """The same in one task, for a number of edges that was counted."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        above: dict = {}
+
+        def root(x):
+            while (y := above.setdefault(x, x)) != x:
+                above[x] = x = above[y]
+            return x
+
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            u, v = root(u), root(v)
+            if u != v:
+                above[max(u, v)] = min(u, v)
+        nodes = list(above)
+        return pd.DataFrame({"node": nodes, "component": [root(x) for x in nodes]})
+
+    return edges.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, f"node {kind}, component {kind}")
+
+
+def components(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """node, component (its smallest node) of every node of the edges u, v; nodes may be of any orderable type.
+
+    At most ``at_once`` edges are worked on in one task; more of them by rounds of stars.
+    """
     now, before = written(edges.where("u <> v").select("u", "v").distinct(), "edges"), None
+    if now.count() <= at_once:
+        return written(_at_once(now), "edges")
     while True:
         big = written(_stars(now, True), "edges")
         small = written(_stars(big, False), "edges")
