@@ -24,6 +24,12 @@ def join_back(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner")
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(hot_keys, key, "left_anti").join(cold, key, how))
 
 
+def join_by_text(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the columns of ``found`` by doc_id, which may be null, and th, the hash of the text."""
+    other = found.withColumnsRenamed({"doc_id": "found_id", "th": "found_th"})
+    return rows.join(other, (F.col("th") == F.col("found_th")) & F.col("doc_id").eqNullSafe(F.col("found_id")), how).drop("found_id", "found_th")
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on edges u, v: each node's neighbours (larger ones, or smaller ones and itself) are tied to the smallest."""
     if large:

@@ -148,8 +148,16 @@ def exact_dedup(docs: DataFrame, first_load: Column | None = None) -> DataFrame:
 
 def kept_documents(docs: DataFrame, first_load: Column | None = None) -> DataFrame:
     """The rows and columns of docs whose text no better row has."""
-    kept = exact_dedup(docs, first_load).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = written(exact_dedup(docs, first_load).where("kept").select("doc_id", "text_sha256").distinct(), "kept")
+    named = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    if not kept.where("doc_id is null").take(1):
+        return named
+    # Rows without an id are told apart by their text: of each group that has such a winner one row stays.
+    rows = docs.where("doc_id is null").select(F.struct(*docs.columns).alias("own"), F.coalesce("text", F.lit("")).alias("whole"))
+    rows = rows.withColumn("text_sha256", F.sha2(F.encode(F.regexp_replace("whole", r"[\x20\x09-\x0D]+", ""), "UTF-8"), 256))
+    rows = rows.join(kept.where("doc_id is null").select(F.upper("text_sha256").alias("k")), F.upper("text_sha256") == F.col("k"))
+    best = rows.groupBy("k").agg(F.max_by("own", F.struct(F.char_length("whole"), "whole")).alias("own"))
+    return named.unionByName(best.select("own.*"))
 
 
 def append_load(new_docs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:

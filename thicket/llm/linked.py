@@ -28,12 +28,14 @@ def _confirmed(ties: DataFrame, contents: DataFrame, linked: Linked) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if batch.column("a").null_count or batch.column("b").null_count:
+                raise ValueError("a node of a tie has no contents")
             hit = [linked(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
             yield batch.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
 
     kind = contents.schema["node"].dataType.simpleString()
-    one = ties.join(contents.select(F.col("node").alias("u"), F.col("content").alias("a")), "u")
-    two = one.join(contents.select(F.col("node").alias("v"), F.col("content").alias("b")), "v")
+    one = ties.join(contents.select(F.col("node").alias("u"), F.col("content").alias("a")), "u", "left")
+    two = one.join(contents.select(F.col("node").alias("v"), F.col("content").alias("b")), "v", "left")
     return two.select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
 
 

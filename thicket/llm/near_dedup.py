@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.components import join_back
@@ -140,8 +140,22 @@ def _linked(percent: int) -> Linked:
     return linked
 
 
+def _key(docs: DataFrame) -> Column:
+    """A key for rows: the id, or where it is null, after all ids, the text's hash."""
+    none, kind = F.col("doc_id").isNull(), docs.schema["doc_id"].dataType
+    blank = F.lit("0").cast(kind)
+    return F.struct(none.alias("none"), F.coalesce("doc_id", blank).alias("id"), F.when(none, F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long")).alias("th"))
+
+
 def near_groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
+    if not docs.where("doc_id is null").take(1):
+        return _groups(docs, percent, size, rows, bands)
+    own = lambda c: F.when(~F.col(c)["none"], F.col(c)["id"]).alias(c)
+    return _groups(docs.withColumn("doc_id", _key(docs)), percent, size, rows, bands).select(own("doc_id"), "n_shingles", own("component_id"), "kept")
+
+
+def _groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     table = written(sketches(docs, size, rows, bands), "sketches")
     kind = docs.schema["doc_id"].dataType.simpleString()
     nodes = written(
@@ -164,5 +178,8 @@ def near_groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = R
 
 def near_dedup(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of docs, of each group of near duplicates the one with the smallest doc_id; texts without words stay."""
-    kept = near_groups(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    if not docs.where("doc_id is null").take(1):
+        return docs.join(_groups(docs, **options).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    kept = _groups(docs.withColumn("doc_id", _key(docs)), **options).where("kept").select(F.col("doc_id").alias("key")).distinct()
+    rows = docs.select("*", _key(docs).alias("key"))
+    return rows.join(kept, "key", "left_semi").select(*docs.columns)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.anchors import CHUNK, K, Fingerprints, anchored
+from thicket.llm.components import join_by_text
 from thicket.llm.store import dropped, tidied, written
 from thicket.llm.textbatch import cuts, mix, ranges, raw, text_column
 
@@ -301,11 +302,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     dropped(first)
     ask = spans.where("length(need) > 0").select("doc_id", "th", "need")
     n_windows = (ask.agg(F.sum(F.length("need"))).first()[0] or 0) / 8 * (length - K) / 2
-    second = written(texts.join(ask, ["doc_id", "th"]).mapInArrow(_windows(_buckets(n_windows), length), _schema(kind)), "windows")
+    second = written(join_by_text(texts, ask).mapInArrow(_windows(_buckets(n_windows), length), _schema(kind)), "windows")
     tidied(second)
     more = _judged(second, kind, length, "window-spans")
     dropped(second)
-    return spans.select("doc_id", "th", "full").join(more.select("doc_id", "th", F.col("full").alias("more")), ["doc_id", "th"], "full")
+    none = F.lit(None).cast("binary")
+    both = spans.select("doc_id", "th", "full", none.alias("more")).unionByName(more.select("doc_id", "th", none.alias("full"), F.col("full").alias("more")))
+    return both.groupBy("doc_id", "th").agg(F.max("full").alias("full"), F.max("more").alias("more"))
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -326,7 +329,7 @@ def _removed(data: np.ndarray, *spans: bytes | None) -> tuple[np.ndarray, int]:
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    return hashed(docs).join(repeated_spans(docs, length), ["doc_id", "th"], "left")
+    return join_by_text(hashed(docs), repeated_spans(docs, length), "left")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -365,7 +368,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out = batch.set_column(at, "text", pa.array(texts, pa.string()))
             yield out.select([c for c in out.schema.names if c not in ("full", "more", "had")])
 
-    keyed = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))).join(repeated_spans(docs, length), ["doc_id", "th"], "left").drop("th")
+    keyed = join_by_text(docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))), repeated_spans(docs, length), "left").drop("th")
     keyed = keyed.select(*docs.columns, "full", "more")
     out = keyed.mapInArrow(cut, docs.schema)
     gone = F.col("text").isNull()
