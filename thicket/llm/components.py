@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.store import dropped, written
 
-AT_ONCE = 200_000  #: edges, at most 32 bytes each
+AT_ONCE = 500_000  #: edges, at most 32 bytes each
 HOT = 1000  #: a key is hot if it has more than one in HOT of all rows, so at most HOT keys are
 
 
@@ -46,23 +47,27 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def _at_once(edges: DataFrame) -> DataFrame:
-    """The same in one task, for a number of edges that was counted."""
+    """The same in one task, for a number of edges that was counted: labels fall to the smallest neighbour's, and follow themselves."""
     kind = edges.schema["u"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        above: dict = {}
-
-        def root(x):
-            while (y := above.setdefault(x, x)) != x:
-                above[x] = x = above[y]
-            return x
-
-        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
-            u, v = root(u), root(v)
-            if u != v:
-                above[max(u, v)] = min(u, v)
-        nodes = list(above)
-        return pd.DataFrame({"node": nodes, "component": [root(x) for x in nodes]})
+        at, nodes = pd.factorize(pd.concat([pdf["u"], pdf["v"]], ignore_index=True))
+        order = np.argsort(nodes, kind="stable")
+        place = np.empty(len(nodes), np.int64)
+        place[order] = np.arange(len(nodes))
+        u, v = place[at].reshape(2, -1)
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[u], label[v])
+            new = label.copy()
+            for x in (label[u], label[v], u, v):
+                np.minimum.at(new, x, low)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        return pd.DataFrame({"node": nodes[order], "component": nodes[order][label]})
 
     return edges.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, f"node {kind}, component {kind}")
 
@@ -74,13 +79,14 @@ def components(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """
     now, before = written(edges.where("u <> v").select("u", "v").distinct(), "edges"), None
     if now.count() <= at_once:
-        return written(_at_once(now), "edges")
+        out = written(_at_once(now), "components")
+        dropped(now)
+        return out
     while True:
         big = written(_stars(now, True), "edges")
         small = written(_stars(big, False), "edges")
         after = tuple(small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        for old in (now, big):
-            dropped(old)
+        dropped(now, big)
         now = small
         if after == before:
             break

@@ -1,17 +1,17 @@
 """Connected groups under links confirmed on whole contents, among the nodes that share buckets.
 
-Each round takes a few nodes of each bucket as leaders and confirms the bucket's other nodes against them, unless a
-path of earlier links ties both already; then the leaders leave the bucket, and buckets whose nodes all lie in one
-group are done. The first round has one leader, so a bucket of mutually linked nodes, of any size, is done after as many
-comparisons as it has nodes; later leaders come from a bucket's smallest groups, in numbers that grow by rounds. In the
-end every pair that shares a bucket was confirmed, or refuted, or is connected: no link is lost, nothing is capped, and no
-bucket is gathered in one place.
+Members name for each node of a bucket a leader, another node of it, against which it is confirmed first. Buckets whose nodes then lie
+in several groups go on in rounds: a round confirms a few nodes of each bucket (from its smallest groups, more in each
+round) against the rest, unless that pair was tried or is tied already; then these leave the bucket. In the end every
+pair that shares a bucket was confirmed, or refuted, or is connected: no link is lost, nothing is capped, and no bucket is
+gathered in one place. Contents meet by key; of a node that many others are confirmed against, copies are spread.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from thicket.llm.components import components, join_back
 from thicket.llm.store import dropped, tidied, written
 
-#: Whether two contents are linked.
-Linked = Callable[[bytes, bytes], bool]
+#: For lists of contents whether each pair of them is linked.
+Linked = Callable[[list[bytes], list[bytes]], np.ndarray]
+LEADERS = 32  #: of a bucket, in the first round
+CHUNK = 2000  #: ties that meet one copy of a content, about
+PAIR_BYTES = 16 << 20
 
 
 def _confirmed(ties: DataFrame, contents: DataFrame, linked: Linked) -> DataFrame:
@@ -30,42 +33,69 @@ def _confirmed(ties: DataFrame, contents: DataFrame, linked: Linked) -> DataFram
         for batch in batches:
             if batch.column("a").null_count or batch.column("b").null_count:
                 raise ValueError("a node of a tie has no contents")
-            hit = [linked(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
-            yield batch.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
+            step = max(1, int(batch.num_rows * PAIR_BYTES / max(PAIR_BYTES, batch.nbytes)))
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                hit = linked(part.column("a").to_pylist(), part.column("b").to_pylist())
+                yield part.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
 
     kind = contents.schema["node"].dataType.simpleString()
     one = ties.join(contents.select(F.col("node").alias("u"), F.col("content").alias("a")), "u", "left")
-    two = one.join(contents.select(F.col("node").alias("v"), F.col("content").alias("b")), "v", "left")
+    other = contents.select(F.col("node").alias("v"), F.col("content").alias("b"))
+    counts = ties.groupBy("v").agg(F.count("*").alias("n"))
+    many = counts.where(F.col("n") > CHUNK)
+    if many.take(1):  # their ties are spread over copies
+        copies = many.select("v", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / CHUNK))).alias("copy"), "n")
+        split = join_back(ties, counts, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.floor(F.col("n") / CHUNK) + 1).alias("copy"))
+        one = split.join(contents.select(F.col("node").alias("u"), F.col("content").alias("a")), "u", "left")
+        other = other.join(copies.drop("n"), "v", "left").withColumn("copy", F.coalesce("copy", F.lit(0).cast("long")))
+        two = one.join(other, ["v", "copy"], "left")
+    else:
+        two = one.join(other, "v", "left")
     return two.select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def linked_groups(members: DataFrame, contents: DataFrame, linked: Linked) -> DataFrame:
-    """node, label (the smallest node of its group) of the nodes that have links. members: bucket, node; contents: node, content."""
-    left = written(members.select("bucket", "node").distinct(), "bucket-members")
-    links, labels, n_leaders = None, None, 1
+def _labelled(df: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
+    """df with the group of ``node``: its label, or itself."""
+    named = labels.select(F.col("node").alias(node), F.col("label").alias(label))
+    return df.join(named, node, "left").withColumn(label, F.coalesce(label, node))
+
+
+def linked_groups(members: DataFrame, contents: DataFrame, linked: Linked, say: Callable[[str], None] = lambda _: None) -> DataFrame:
+    """node, label (the smallest node of its group) of the nodes that have links.
+
+    members: bucket, node, leader (the bucket's rows of one leader needn't be all of them); contents: node, content.
+    """
+    tried = written(members.where("node <> leader").select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct(), "ties")
+    links = written(_confirmed(tried, contents, linked), "links")
+    tidied(links)
+    labels = components(links).withColumnRenamed("component", "label")
+    say(f"ties {tried.count()}, links {links.count()}")
+    left, n_leaders = members.select("bucket", "node"), LEADERS
     while True:
-        named = left.withColumn("component", F.col("node"))
-        if labels is not None:
-            named = left.join(labels.withColumnRenamed("label", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = _labelled(left, labels, "node", "component").distinct()
         # Only buckets with two groups or more go on.
         sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        open_ = sizes.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("size").alias("n")).where("groups > 1")
-        named = written(join_back(named, open_.select("bucket", "n"), "bucket"), "bucket-members")
-        if not named.take(1):
-            return labels if labels is not None else left.select("node", F.col("node").alias("label")).limit(0)
-        if n_leaders == 1:
-            leaders = named.groupBy("bucket").agg(F.min(F.struct("node", "component")).alias("leader"), F.first("n").alias("n"))
-        else:
-            ranked = named.join(sizes, ["bucket", "component"]).withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("size", "component", "node")))
-            leaders = ranked.where(F.col("k") <= n_leaders).select("bucket", F.struct("node", "component").alias("leader"), "n")
-        leaders = written(leaders, "bucket-leaders")
+        several = sizes.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("size").alias("n")).where("groups > 1")
+        open_ = written(join_back(named, several.select("bucket", "n"), "bucket"), "bucket-members")
+        if not open_.take(1):
+            dropped(open_, tried)
+            return labels
+        sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+        ranked = open_.join(sizes, ["bucket", "component"]).withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("size", "component", "node")))
+        leaders = written(ranked.where(F.col("k") <= n_leaders).select("bucket", F.struct("node", "component").alias("leader"), "n"), "bucket-leaders")
         listed = leaders.groupBy("bucket").agg(F.collect_list("leader").alias("leaders"), F.first("n").alias("n"))  # at most n_leaders each
-        met = join_back(named.drop("n"), listed, "bucket").select("node", "component", F.explode("leaders").alias("l")).where("component <> l.component")
-        ties = written(met.select(F.greatest("node", "l.node").alias("u"), F.least("node", "l.node").alias("v")).distinct(), "ties")
+        met = join_back(open_.drop("n"), listed, "bucket").select("node", "component", F.explode("leaders").alias("l")).where("component <> l.component")
+        pairs = met.select(F.greatest("node", "l.node").alias("u"), F.least("node", "l.node").alias("v")).distinct()
+        ties = written(pairs.join(tried, ["u", "v"], "left_anti"), "ties")
         found = written(_confirmed(ties, contents, linked), "links")
+        say(f"leaders {n_leaders}, open {open_.count()}, ties {ties.count()}, links {found.count()}")
         tidied(found)
-        links = found if links is None else written(links.unionByName(found), "links")
-        labels = components(links).withColumnRenamed("component", "label")
-        left = named.select("bucket", "node").join(leaders.select("bucket", F.col("leader.node").alias("node")), ["bucket", "node"], "left_anti")
-        dropped(ties)
-        n_leaders *= 4
+        if found.take(1):
+            links = links.unionByName(found)
+            labels = components(links).withColumnRenamed("component", "label")
+        before = left
+        left = written(open_.select("bucket", "node").join(leaders.select("bucket", F.col("leader.node").alias("node")), ["bucket", "node"], "left_anti"), "bucket-left")
+        tried = tried.unionByName(ties)
+        dropped(open_, leaders, *([before] if n_leaders > LEADERS else []))
+        n_leaders *= 16

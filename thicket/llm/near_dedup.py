@@ -14,7 +14,8 @@ gives no rows. Shingles are compared by 52-bit hashes of their words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from thicket.llm.components import join_back
 from thicket.llm.linked import Linked, linked_groups
-from thicket.llm.store import dropped, written
+from thicket.llm.store import dropped, tidied, written
 from thicket.llm.textbatch import cuts, mix, per_row, text_column, word_hashes, words_of
 
 ROWS, BANDS = 4, 24
@@ -129,17 +130,38 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _linked(percent: int) -> Linked:
-    def linked(a: bytes, b: bytes) -> bool:
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-            return False
-        both = np.sort(np.concatenate([x, y]), kind="stable")
-        common = int((both[1:] == both[:-1]).sum())
-        return 100 * common >= percent * (len(x) + len(y) - common)
+    def linked(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        for i, (p, q) in enumerate(zip(a, b)):
+            x, y = (np.frombuffer(t, np.uint64) for t in ((p, q) if len(p) <= len(q) else (q, p)))
+            if 100 * len(x) < percent * len(y):
+                continue
+            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            out[i] = 100 * common >= percent * (len(x) + len(y) - common)
+        return out
 
     return linked
 
 
+def _shared(nodes: DataFrame, percent: int) -> DataFrame:
+    """bucket, node, leader of the buckets that hold several nodes of nearly equal size.
+
+    Linked sets' sizes differ by a factor of 100 / percent at most; so buckets are cut into windows of sizes, each node in two of
+    them, and two such nodes have a window in common.
+    """
+    members = nodes.select("node", "n_shingles", F.explode("buckets").alias("bucket"))
+    several = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = join_back(members, several, "bucket")
+    width = 2 * math.log(100 / percent) + 1e-6
+    x = F.log(F.col("n_shingles").cast("double")) / F.lit(width)
+    windows = F.array(F.xxhash64("bucket", 2 * F.floor(x)), F.xxhash64("bucket", 2 * F.floor(x + 0.5) + 1))
+    cut = written(members.select("node", F.explode(windows).alias("bucket")), "members")
+    groups = cut.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    out = written(join_back(cut, groups, "bucket").select("bucket", "node", "leader"), "members")
+    dropped(cut)
+    return out
+
+
 def _key(docs: DataFrame) -> Column:
     """A key for rows: the id, or where it is null, after all ids, the text's hash."""
     none, kind = F.col("doc_id").isNull(), docs.schema["doc_id"].dataType
@@ -155,19 +177,20 @@ def near_groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = R
     return _groups(docs.withColumn("doc_id", _key(docs)), percent, size, rows, bands).select(own("doc_id"), "n_shingles", own("component_id"), "kept")
 
 
-def _groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def _groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = ROWS, bands: int = BANDS, say: Callable[[str], None] = lambda _: None) -> DataFrame:
     table = written(sketches(docs, size, rows, bands), "sketches")
     kind = docs.schema["doc_id"].dataType.simpleString()
     nodes = written(
-        table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"), F.count("*").alias("n")), "nodes"
+        table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n")), "nodes"
     )
-    members = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(join_back(members, shared, "bucket").select("bucket", "node"), "members")
+    members = _shared(nodes, percent)
+    tidied(members)
+    say(f"rows {table.count()}, nodes {nodes.count()}, members {members.count()}")
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     sets = written(_sets(docs, wanted, size).dropDuplicates(["node"]), "sets")
-    labels = written(linked_groups(members, sets, _linked(percent)), "labels")
-    dropped(sets)
+    tidied(sets)
+    labels = linked_groups(members, sets, _linked(percent), say)
+    dropped(sets, members)
     own = nodes.select("node", "rep", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
     by_node = written(join_back(own.select("node", "label", F.col("n").alias("copies")), least, "label").select("node", "component_id", F.col("copies").alias("n")), "components")
