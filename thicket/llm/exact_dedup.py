@@ -10,7 +10,8 @@ are read and never shuffled.
 Texts are equal when identical after deleting white space (0x20, 0x09-0x0D). The row with the most code points
 in its original text stays, then the smallest doc_id. Defined results: a null text counts as empty; empty
 texts are equal to each other; of rows repeated with the same id all count in the group's size and all are
-kept if their id is; extra columns are ignored; an empty table gives no rows.
+kept if their id is (:func:`kept_documents` leaves one row); a null id comes before others; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,23 +24,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.components import join_back
-from thicket.llm.store import written
+from thicket.llm.store import dropped, written
 
 SHARD = 1024  #: distinct digests in a shard of the index, about
 BUCKET = 4  #: digests that share a seed, about
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (SHA-256 of the text without white space), its 64-bit hash and the text's code points."""
+    """doc_id, th (hash of the text), digest (SHA-256 of the text without white space), its 64-bit hash and the text's code points."""
     text = F.coalesce("text", F.lit(""))
     hexed = F.sha2(F.encode(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), "UTF-8"), 256)
-    rows = docs.select("doc_id", F.unhex(hexed).alias("digest"), F.char_length(text).cast("long").alias("points"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), F.unhex(hexed).alias("digest"), F.char_length(text).cast("long").alias("points"))
     return rows.withColumn("h", F.xxhash64("digest"))
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
     """The distinct digests of rows, with the row that stays of each; combined before the shuffle."""
-    best = F.min(F.struct((-F.col("points")).alias("less"), F.col("doc_id").alias("keep_id")))
+    best = F.min(F.struct((-F.col("points")).alias("less"), F.col("doc_id").alias("keep_id"), F.col("th").alias("keep_th")))
     return rows.groupBy("digest", "h").agg(best.alias("best"), F.count("*").alias("n"))
 
 
@@ -92,16 +93,20 @@ def build_index(groups: DataFrame, n_groups: int | None = None) -> DataFrame:
     n_groups = groups.count() if n_groups is None else n_groups
     n_shards = max(1, -(-n_groups // SHARD))
     kind = groups.select("best.keep_id").dtypes[0][1]
-    schema = f"shard int, n_shards int, m int, seeds array<int>, slots array<struct<digest binary, less long, keep_id {kind}, n long>>"
+    entry = f"array<struct<digest binary, less long, keep_id {kind}, keep_th long, n long>>"
+    schema = f"shard int, n_shards int, m int, seeds array<int>, slots {entry}, beside {entry}"
+
+    def entries(rows: pd.DataFrame) -> list[dict]:
+        columns = (rows[c] for c in ("digest", "less", "keep_id", "keep_th", "n"))
+        return [{"digest": bytes(d), "less": a, "keep_id": k, "keep_th": t, "n": n} for d, a, k, t, n in zip(*columns)]
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("h")  # of two digests with one 64-bit hash the second isn't indexed, so it is a nonmember
-        seeds, slot = perfect_hash(pdf["h"].to_numpy())
-        rows = pdf.assign(slot=slot).sort_values("slot")
-        slots = [{"digest": bytes(d), "less": a, "keep_id": k, "n": n} for d, a, k, n in zip(rows["digest"], rows["less"], rows["keep_id"], rows["n"])]
-        return pd.DataFrame({"shard": [key[0]], "n_shards": [n_shards], "m": [len(rows)], "seeds": [seeds], "slots": [slots]})
+        again = pdf.duplicated("h")  # of digests with one 64-bit hash the first has a slot, the others lie beside the slots
+        seeds, slot = perfect_hash(pdf.loc[~again, "h"].to_numpy())
+        rows = pdf[~again].assign(slot=slot).sort_values("slot")
+        return pd.DataFrame({"shard": [key[0]], "n_shards": [n_shards], "m": [len(rows)], "seeds": [seeds], "slots": [entries(rows)], "beside": [entries(pdf[again])]})
 
-    flat = groups.select(F.pmod("h", F.lit(n_shards)).cast("int").alias("shard"), "digest", "h", "best.less", "best.keep_id", "n")
+    flat = groups.select(F.pmod("h", F.lit(n_shards)).cast("int").alias("shard"), "digest", "h", "best.less", "best.keep_id", "best.keep_th", "n")
     return flat.groupBy("shard").applyInPandas(build, schema)
 
 
@@ -117,29 +122,37 @@ def look_up(groups: DataFrame, index: DataFrame) -> DataFrame:
     seed = F.get("seeds", _bucket(F.col("m")))
     slot = F.pmod(F.xxhash64("digest", seed), F.col("m")).cast("int")
     entry = F.get("slots", slot)
-    return joined.select(*groups.columns, F.when(entry["digest"] == F.col("digest"), entry).alias("found"))
+    beside = F.when(F.size("beside") > 0, F.get(F.filter("beside", lambda x: x["digest"] == F.col("digest")), F.lit(0)))
+    return joined.select(*groups.columns, F.when(entry["digest"] == F.col("digest"), entry).otherwise(beside).alias("found"))
 
 
 def merged(new: DataFrame, index: DataFrame) -> DataFrame:
     """All groups of the index and of a new load's groups: digest, best, n."""
     hits = written(look_up(new, index), "lookups")
-    old = index.select(F.explode("slots").alias("s")).select("s.digest", F.struct("s.less", "s.keep_id").alias("best"), "s.n")
-    both = hits.where("found is not null").select("digest", F.least("best", F.struct(F.col("found.less"), F.col("found.keep_id"))).alias("new_best"), F.col("n").alias("more"))
+    old = index.select(F.explode(F.concat("slots", "beside")).alias("s")).select("s.digest", F.struct("s.less", "s.keep_id", "s.keep_th").alias("best"), "s.n")
+    both = hits.where("found is not null").select("digest", F.least("best", F.struct(F.col("found.less"), F.col("found.keep_id"), F.col("found.keep_th"))).alias("new_best"), F.col("n").alias("more"))
     members = old.join(both, "digest", "left").select("digest", F.coalesce("new_best", "best").alias("best"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
     return members.unionByName(hits.where("found is null").select("digest", "best", "n"))
 
 
+def _grouped(docs: DataFrame, first_load: Column | None) -> tuple[DataFrame, DataFrame]:
+    """(digests of the rows, groups of equal texts), by way of an index over the first load."""
+    rows = digests(docs)
+    old = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2)) == 0 if first_load is None else first_load
+    rows = written(rows.withColumn("old", F.coalesce(old, F.lit(False))), "digests")
+    index = written(build_index(groups_of(rows.where("old"))), "digest-index")
+    groups = written(merged(groups_of(rows.where("not old")), index), "digest-groups")
+    dropped(index)
+    return rows, groups
+
+
 def exact_dedup(docs: DataFrame, first_load: Column | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row.
 
     Rows for which ``first_load`` holds make the historical index, the others are a new load on it; by default
     half of the rows by the hash of their ids. The result doesn't depend on it.
     """
-    rows = digests(docs)
-    old = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2)) == 0 if first_load is None else first_load
-    rows = written(rows.withColumn("old", F.coalesce(old, F.lit(False))), "digests")
-    index = written(build_index(groups_of(rows.where("old"))), "digest-index")
-    groups = written(merged(groups_of(rows.where("not old")), index), "digest-groups")
+    rows, groups = _grouped(docs, first_load)
     back = join_back(rows.select("doc_id", "digest"), groups.select("digest", F.col("best.keep_id").alias("keep_id"), "n"), "digest")
     return back.select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
@@ -147,17 +160,15 @@ def exact_dedup(docs: DataFrame, first_load: Column | None = None) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, first_load: Column | None = None) -> DataFrame:
-    """The rows and columns of docs whose text no better row has."""
-    kept = written(exact_dedup(docs, first_load).where("kept").select("doc_id", "text_sha256").distinct(), "kept")
-    named = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
-    if not kept.where("doc_id is null").take(1):
-        return named
-    # Rows without an id are told apart by their text: of each group that has such a winner one row stays.
-    rows = docs.where("doc_id is null").select(F.struct(*docs.columns).alias("own"), F.coalesce("text", F.lit("")).alias("whole"))
-    rows = rows.withColumn("text_sha256", F.sha2(F.encode(F.regexp_replace("whole", r"[\x20\x09-\x0D]+", ""), "UTF-8"), 256))
-    rows = rows.join(kept.where("doc_id is null").select(F.upper("text_sha256").alias("k")), F.upper("text_sha256") == F.col("k"))
-    best = rows.groupBy("k").agg(F.max_by("own", F.struct(F.char_length("whole"), "whole")).alias("own"))
-    return named.unionByName(best.select("own.*"))
+    """The rows and columns of docs whose text no better row has: one of each group, also of rows repeated as a whole."""
+    rows, groups = _grouped(docs, first_load)
+    stays = groups.select(F.col("best.keep_id").alias("keep_id"), F.col("best.keep_th").alias("keep_th"))
+    keyed = docs.select(F.struct(*docs.columns).alias("whole"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_th"))
+    kept = keyed.join(stays, (F.col("row_th") == F.col("keep_th")) & F.col("whole.doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    if rows.groupBy("doc_id", "th").count().where("count > 1").take(1):  # the row itself occurs again
+        own = F.struct(F.col("whole.doc_id").alias("doc_id"), F.col("row_th").alias("th"))
+        kept = kept.withColumn("own_key", own).dropDuplicates(["own_key"])
+    return kept.select("whole.*")
 
 
 def append_load(new_docs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +177,9 @@ def append_load(new_docs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataF
     new = groups_of(rows)
     fresh = written(look_up(new, index).where("found is null").drop("found"), "fresh")
     groups = written(merged(new, index), "digest-groups").withColumn("h", F.xxhash64("digest"))
-    return rows.join(fresh.select("digest", F.col("best.keep_id").alias("doc_id")), ["digest", "doc_id"], "left_semi"), written(build_index(groups), "digest-index")
+    stays = fresh.select(F.col("digest").alias("d"), F.col("best.keep_id").alias("keep_id"), F.col("best.keep_th").alias("keep_th"))
+    same = (F.col("digest") == F.col("d")) & (F.col("th") == F.col("keep_th")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return rows.join(stays, same, "left_semi"), written(build_index(groups), "digest-index")
 
 
 def sql(table: str = "documents") -> str:
