@@ -21,7 +21,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column as a string array without nulls (null: empty text)."""
     column = batch.column(name)
-    if pa.types.is_large_string(column.type) or not pa.types.is_string(column.type):
+    if not pa.types.is_string(column.type):
         column = column.cast(pa.string())
     return pc.fill_null(column, "") if column.null_count else column
 
@@ -39,8 +39,9 @@ def cuts(batch: pa.RecordBatch, n_bytes: int, name: str = "text") -> Iterator[pa
     """The batch in slices of about n_bytes of text each; a longer row is a slice of its own."""
     if not batch.num_rows:
         return
-    _, offsets, _ = batch.column(name).buffers()
-    ends = np.frombuffer(offsets, np.int32, batch.num_rows + 1, batch.column(name).offset * 4).astype(np.int64)
+    column = batch.column(name)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + n_bytes, "right")) - 1)
@@ -48,6 +49,22 @@ def cuts(batch: pa.RecordBatch, n_bytes: int, name: str = "text") -> Iterator[pa
         at = to
 
 
+def balanced(batches: Iterator[pa.RecordBatch], n_bytes: int, name: str = "text", most_rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, cut and joined into batches of about n_bytes of text; a longer row is a batch of its own."""
+    have: list[pa.RecordBatch] = []
+    size = rows = 0
+    for batch in batches:
+        for part in cuts(batch, n_bytes, name):
+            n = pc.sum(pc.binary_length(part.column(name))).as_py() or 0
+            if have and (size + n > n_bytes or rows + part.num_rows > most_rows):
+                yield pa.concat_batches(have)
+                have, size, rows = [], 0, 0
+            have.append(part)
+            size, rows = size + n, rows + part.num_rows
+    if have:
+        yield pa.concat_batches(have)
+
+
 def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(words, counts): all words in order, and how many each row has."""
     split = pc.ascii_split_whitespace(column)
@@ -74,8 +91,8 @@ def per_row(ufunc: np.ufunc, values: np.ndarray, counts: np.ndarray, empty=0) ->
 def pieces_before_space(column: pa.Array, space_table: np.ndarray = SPACE) -> tuple[pa.Array, np.ndarray]:
     """Each text cut before white space: runs of white space with the word that follows; (pieces, counts).
 
-    A cut comes before the first of a run of white space (bytes of space_table) if what precedes it is an ASCII character
-    that isn't a control character, or a character whose UTF-8 form starts with 0xC3 (Latin letters).
+    A cut comes before the first of a run of white space (bytes of space_table) if what precedes it is a character that is neither
+    white space of any kind nor an ASCII control character.
     Tokenizers that split words at white space have a boundary there whatever surrounds it.
     """
     data, ends = raw(column)
@@ -86,9 +103,14 @@ def pieces_before_space(column: pa.Array, space_table: np.ndarray = SPACE) -> tu
     start = np.zeros(n + 1, bool)
     before = data[:-1]
     plain = (before > 0x20) & (before < 0x7F)
-    latin = np.zeros(n - 1, bool)
-    latin[1:] = (before[1:] >= 0x80) & (data[:-2] == 0xC3)
-    start[1:n] = space[1:] & ~space[:-1] & (plain | latin)
+    first = space[1:] & ~space[:-1]
+    start[1:n] = first & plain
+    other = np.flatnonzero(first & (before >= 0x80)) + 1
+    if len(other):
+        c, b, a = data[other - 1], data[other - 2], data[np.maximum(other - 3, 0)]
+        blank = (b == 0xC2) & ((c == 0x85) | (c == 0xA0)) | (a == 0xE3) & (b == 0x80) & (c == 0x80) | (a == 0xE1) & ((b == 0x9A) & (c == 0x80) | (b == 0xA0) & (c == 0x8E))
+        blank |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8D) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+        start[other[~blank]] = True
     start[ends[:-1]] = True
     start[n] = False
     at = np.flatnonzero(start[:n])
@@ -98,11 +120,13 @@ def pieces_before_space(column: pa.Array, space_table: np.ndarray = SPACE) -> tu
 
 
 class Dictionary:
-    """What ``encode`` (list of distinct strings -> list of int sequences) gives, remembered for up to ``most`` strings.
+    """What ``encode`` (list of distinct strings -> list of int sequences) gives, remembered for up to ``most`` strings of at most KEPT characters.
 
-    Values lie in one growing array; a batch's own strings beyond the bound are encoded but not kept.
+    Values lie in one growing array; a batch's longer strings, and those beyond the bound, are encoded but not kept.
     """
 
+    KEPT = 48
+
     def __init__(self, encode: Callable[[list[str]], list], most: int = 400_000):
         self.encode, self.most = encode, most
         self.number: dict[str, int] = {}
@@ -122,6 +146,8 @@ class Dictionary:
         names = coded.dictionary.to_pylist()
         found = list(map(self.number.get, names))
         missing = [i for i, x in enumerate(found) if x is None]
+        missing.sort(key=lambda i: len(names[i]) > self.KEPT)
+        n_short = sum(len(names[i]) <= self.KEPT for i in missing)
         count, base = len(self.number), self.n_ids
         if missing:
             values = self.encode([names[i] for i in missing])
@@ -135,7 +161,7 @@ class Dictionary:
             self.size[count : count + len(missing)] = sizes
             for k, i in enumerate(missing):
                 found[i] = count + k
-            kept = max(0, min(len(missing), self.most - count))
+            kept = max(0, min(n_short, self.most - count))
             for k in range(kept):
                 self.number[names[missing[k]]] = count + k
             self.n_ids = base + int(sizes[:kept].sum())
