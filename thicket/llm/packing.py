@@ -2,9 +2,11 @@
 
 Documents are tokenized where they are read; only (id, piece, length) of their pieces is packed. Pieces are spread
 over groups of about GROUP pieces, each packed by best fit decreasing; lower bounds from dual feasible functions
-certify a group's number of sequences. Sequences with gaps give their pieces up: these are exchanged between
-groups and packed again, in fewer groups each round, until one group is left or the whole table's bound is met;
-a repacking that needs more sequences than before isn't taken.
+certify a group's number of sequences. A certified group closes: nothing within it can be packed better. The sequences with gaps
+of the other groups give their pieces up: these are exchanged between groups and packed again, until their groups are certified
+too, or two rounds on end save no sequence. What then is left are the closed groups' sequences with gaps, few to a group; they are
+exchanged in the same way, in fewer groups each time, until one group is left, the whole table's bound is met, or nothing is
+saved any more. A repacking that needs more sequences than before isn't taken.
 
 Defined results: a null or empty text is one piece, the end mark alone; a document longer than ``capacity`` is
 cut into pieces of ``capacity`` tokens after a first one that may be shorter; repeated rows are packed each for
@@ -151,7 +153,7 @@ def _round(open_pieces: DataFrame, number: int, n_groups: int, capacity: int) ->
         lengths = pdf["length"].to_numpy()
         sequence, offset, filled = best_fit(lengths, capacity)
         certified = len(filled) == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        name = sequence + (number << 56 | int(key[0]) << 24)
+        name = sequence + (number << 48 | int(key[0]) << 24)
         was = pdf["sequence_id"].to_numpy()
         if number and len(np.unique(was)) <= len(filled):  # those sequences lie in this group as a whole
             name, offset = was, pdf["offset"].to_numpy()
@@ -176,19 +178,36 @@ def packed(pieces_: DataFrame, capacity: int = CAPACITY, group: int = GROUP) ->
     whole = table.where(F.col("length") == capacity).select("rid", (-F.col("rid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left, done, number = int(counts[:capacity].sum()), int(counts[capacity]), 0
     now = table.where(F.col("length") < capacity).select("rid", "length", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    closed = []
+    closed, waiting = [], []  # waiting: (sequences with gaps of closed groups, how many pieces, how many sequences)
+    fewest, idle, last = None, 0, False
     while left:
         n_groups = max(1, left // group)
         result = written(_round(now, number, n_groups, capacity), f"packing-{number}")
-        have = {r["full"]: (r["n"], r["s"]) for r in result.groupBy("full").agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("s")).collect()}
-        gaps, with_gaps = have.get(False, (0, 0))
-        done += have.get(True, (0, 0))[1]
-        if n_groups == 1 or not gaps or done + with_gaps == bound or number == 100:
-            closed.append(result)
-            break
+        have = {(r["full"], r["certified"]): (r["n"], r["s"]) for r in result.groupBy("full", "certified").agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("s")).collect()}  # at most four rows
+        done += sum(s for (full, _), (_, s) in have.items() if full)
+        (gaps, open_), (settled, held) = have.get((False, False), (0, 0)), have.get((False, True), (0, 0))
+        total = done + open_ + held + sum(s for _, _, s in waiting)
+        idle = 0 if fewest is None or total < fewest else idle + 1
+        fewest = total if fewest is None else min(total, fewest)
         closed.append(result.where("full"))
-        # Sequences with gaps: a group that wasn't fewer than so many pieces gains nothing from going on alone.
-        left, number, now = gaps, number + 1, result.where("not full").select("rid", "length", "sequence_id", "offset")
+        more = idle < 2 and gaps > 0 and n_groups > 1
+        if settled:
+            waiting.append((result.where("not full and certified"), settled, held))
+        if gaps and not more:
+            waiting.append((result.where("not full and not certified"), gaps, open_))
+        number += 1
+        columns = ["rid", "length", "sequence_id", "offset"]
+        if total > bound and more:
+            now, left = result.where("not full and not certified").select(*columns), gaps
+        elif total > bound and waiting and not (last and (n_groups == 1 or idle)):
+            # Once more for all that wait; the groups are fewer, or others.
+            now, left, idle, last = functools.reduce(DataFrame.unionByName, (w.select(*columns) for w, _, _ in waiting)), sum(n for _, n, _ in waiting), 0, True
+            waiting = []
+        else:
+            if more:
+                waiting.append((result.where("not full and not certified"), gaps, open_))
+            break
+    closed += [w for w, _, _ in waiting]
     places = whole
     for c in closed:
         places = places.unionByName(c.select("rid", "sequence_id", "offset"))
