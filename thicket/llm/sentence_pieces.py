@@ -2,9 +2,10 @@
 
 Texts are cut where no piece can cross, so that a batch is a set of distinct words. Words of equal length advance
 together: fingerprints of all their substrings are differences of prefix sums, which probe the sorted fingerprints of
-the pieces; for a unigram model each end position takes the best start by a vectorised maximum and stores it as its
-backpointer (Viterbi). Files of the other kind, BPE, give other ids under the library than the best-scored path, so for them
-the same batches take, in each step, every word's best-scored neighbouring pair (leftmost of equal ones) and merge it.
+the pieces; each end position takes the best start by a vectorised maximum and stores it as its backpointer (Viterbi).
+For a unigram file a path's score is the sum of its pieces' scores. For a BPE file, whose library merges greedily, a step has no
+score but may be forbidden: a piece may follow another only if merging their texts would leave just these two. A text's
+merged pieces are the one path whose neighbours all may follow each other, so the maximum finds the library's ids.
 
 Defined results: null and empty texts have no ids; a character without a piece becomes its UTF-8 bytes' pieces, or
 the unknown piece if the file has none; repeated rows get equal ids; extra columns are ignored. Only files with the
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from thicket.llm.textbatch import Dictionary, cuts, mix, per_row, pieces_before_space, ranges, raw, text_column
 
 BATCH_BYTES = 4 << 20
+LONG = 64  #: characters of a word beyond which it is cut where no piece crosses
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -114,6 +116,9 @@ class Model:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
         self.scores = np.array([s for _, s, _ in pieces], np.float32)[self.ids]
+        if self.kind == BPE:
+            self._merges(names, {p: pieces[i][1] for p, i in names.items()})
+        self.neighbours = np.unique(np.array([ord(x) << 21 | ord(y) for p in names for x, y in zip(p, p[1:])] or [-1], np.int64))
         self.unknown_score = np.float32(min(pieces[i][1] for i in normal) - 10)
         #: White space before which no piece crosses.
         self.cut = np.zeros(256, bool)
@@ -130,25 +135,100 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, prints), len(self.keys) - 1)
         return np.where(self.keys[at] == prints, at, -1)
 
+    def _merges(self, names: dict[str, int], scores: dict[str, float]) -> None:
+        """Tables of a BPE file: for each piece, numbered in the order in which merges take it, the two that it is merged from.
+
+        Single characters come first and are whole; pieces that merging never makes are left out.
+        """
+        single = [p for p in names if len(p) == 1]
+        order = single + sorted((p for p in names if len(p) > 1), key=lambda p: -scores[p])
+        number = {p: i for i, p in enumerate(order)}
+        left, right = list(range(len(order))), list(range(len(order)))
+        whole, pairs = [True] * len(single) + [False] * (len(order) - len(single)), {}
+
+        def apart(a: int, b: int) -> bool:
+            limit = len(order) + 1
+            while True:
+                if pairs.get((a, b), limit) < limit:
+                    return False
+                if a > b:
+                    limit, a = a, right[a]
+                    if a == limit:
+                        limit, b = b + 1, left[b]
+                        if b + 1 == limit:
+                            return True
+                else:
+                    limit, b = b + 1, left[b]
+                    if b + 1 == limit:
+                        limit, a = a, right[a]
+                        if a == limit:
+                            return True
+
+        for i in range(len(single), len(order)):
+            p = order[i]
+            for k in range(len(p) - 1, 0, -1):
+                a, b = number.get(p[:k], i), number.get(p[k:], i)
+                if a < i and b < i and whole[a] and whole[b] and apart(a, b):
+                    pairs[a, b], left[i], right[i], whole[i] = i, a, b, True
+                    break
+        at = np.array([number[self.pieces[i]] for i in self.ids.tolist()], np.int64)  # of the sorted keys
+        self.number, self.whole = at, np.array(whole)[at]
+        self.left, self.right = np.array(left), np.array(right)
+        keys = np.array([a * len(order) + b for a, b in pairs], np.int64)
+        by = np.argsort(keys)
+        self.pair_keys, self.pair_values = keys[by], np.array(list(pairs.values()), np.int64)[by]
+
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether piece b may follow piece a: undoing merges from both sides of the border finds none across it that came earlier."""
+        out, n = np.ones(len(a), bool), len(self.left)
+        if not len(self.pair_keys):
+            return out
+        on, limit = np.arange(len(a)), np.full(len(a), n + 1)
+        while len(on):
+            key = a * n + b
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            joined = (self.pair_keys[at] == key) & (self.pair_values[at] < limit)
+            out[on[joined]] = False
+            # The later merge of both sides is undone; if its piece is a character, that of the other side.
+            first = a > b
+            a_whole, b_whole = self.right[a] == a, self.left[b] == b
+            undo_a = np.where(first, ~a_whole, b_whole & ~a_whole)
+            undo_b = np.where(first, a_whole & ~b_whole, ~b_whole)
+            limit = np.where(undo_a, a, b + 1)
+            a, b = np.where(undo_a, self.right[a], a), np.where(undo_b, self.left[b], b)
+            go = ~joined & (undo_a | undo_b)
+            on, a, b, limit = on[go], a[go], b[go], limit[go]
+        return out
+
     def viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ids), -1 where no piece ends: the last piece of the best path to each end position."""
         n, length = codes.shape
         prints, rows = Prefixes(codes), np.arange(n)[:, None]
         best = np.full((n, length + 1), -np.inf, np.float32)
         best[:, 0] = 0
-        back, piece = np.zeros((n, length + 1), np.int64), np.full((n, length + 1), self.unknown, np.int64)
+        back, piece = np.zeros((n, length + 1), np.int32), np.full((n, length + 1), self.unknown, np.int32)
+        last = np.full((n, length + 1), -1, np.int32) if self.kind == BPE else None
         for e in range(1, length + 1):
             s = np.arange(max(0, e - self.longest), e)
             at = self.probe(prints.of(rows, s[None, :], np.array([[e]])))
-            score = np.where(at >= 0, self.scores[at], np.float32(-np.inf))
+            if last is None:
+                score = np.where(at >= 0, self.scores[at], np.float32(-np.inf))
+            else:
+                can = (at >= 0) & self.whole[at]
+                before = last[:, s]
+                i, j = np.nonzero(can & (before >= 0))
+                can[i, j] = self._apart(before[i, j].astype(np.int64), self.number[at[i, j]])
+                score = np.where(can, np.float32(0), np.float32(-np.inf))
             single = at[:, -1] < 0
-            score[single, -1] = self.unknown_score
+            score[single, -1] = self.unknown_score if last is None else 0
             total = best[:, s] + score
             k = np.argmax(total, axis=1)  # the first of equal ones
             best[:, e] = total[rows[:, 0], k]
             back[:, e] = s[k]
             found = at[rows[:, 0], k]
             piece[:, e] = np.where(found >= 0, self.ids[found], self.unknown)
+            if last is not None:
+                last[:, e] = np.where(found >= 0, self.number[found], -1)
         return back, piece
 
     def _paths(self, codes: np.ndarray, words: list[str]) -> list[list[int]]:
@@ -164,58 +244,30 @@ class Model:
             out.append(self._known(w, [0, *edges[::-1]], ids[::-1]))
         return out
 
-    def _merged(self, codes: np.ndarray, words: list[str]) -> list[list[int]]:
-        """Per word its ids by merging the best-scored neighbours, one pair a step."""
-        n, length = codes.shape
-        prints = Prefixes(codes)
-        out: list[list[int]] = [[] for _ in range(n)]
-        word, edges = np.arange(n), np.tile(np.arange(length + 1), (n, 1))
-
-        def value(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            at = self.probe(prints.of(w, a, b))
-            return np.where(at >= 0, self.scores[at], np.float32(-np.inf))
-
-        scores = value(word[:, None], edges[:, :-2], edges[:, 2:])
-        while len(word):
-            k = np.argmax(scores, axis=1) if scores.shape[1] else np.zeros(len(word), np.int64)
-            over = np.isneginf(scores[np.arange(len(word)), k]) if scores.shape[1] else np.ones(len(word), bool)
-            if over.any():
-                w, e = word[over], edges[over]
-                at = self.probe(prints.of(np.repeat(w, e.shape[1] - 1), e[:, :-1].ravel(), e[:, 1:].ravel()))
-                ids = np.where(at >= 0, self.ids[at], self.unknown).reshape(len(w), -1)
-                for i, y in zip(w.tolist(), ids.tolist()):
-                    out[i] = y
-                for i in np.flatnonzero((ids == self.unknown).any(axis=1)).tolist():
-                    out[w[i]] = self._known(words[w[i]], e[i].tolist(), ids[i].tolist())
-                word, edges, scores, k = word[~over], edges[~over], scores[~over], k[~over]
-                if not len(word):
-                    break
-            m, rows = edges.shape[1] - 1, np.arange(len(word))
-            stay = np.ones(edges.shape, bool)
-            stay[rows, k + 1] = False
-            edges = edges[stay].reshape(len(word), m)
-            stay = stay[:, 1:-1]
-            scores = scores[stay].reshape(len(word), m - 2)
-            left, right = k > 0, k < m - 2  # pairs whose left or right half is the merged piece
-            scores[rows[left], k[left] - 1] = value(word[left], edges[rows[left], k[left] - 1], edges[rows[left], k[left] + 1])
-            scores[rows[right], k[right]] = value(word[right], edges[rows[right], k[right]], edges[rows[right], k[right] + 2])
-        return out
+    def _parts(self, word: str) -> list[str]:
+        """A long word cut between characters that are neighbours in no piece."""
+        if len(word) <= LONG or (self.kind == UNIGRAM and self.byte is None):  # there, unknown neighbours are one piece
+            return [word]
+        codes = codes_of([word], len(word))[0].astype(np.int64)
+        key = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.neighbours, key), len(self.neighbours) - 1)
+        edges = [0, *(np.flatnonzero(self.neighbours[at] != key) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip(edges, edges[1:])]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words in which spaces already are marks."""
-        out: list[list[int]] = [[] for _ in words]
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
+        parts = [self._parts(w) for w in words]
+        flat = [p for own in parts for p in own]
+        found: dict[str, list[int]] = dict.fromkeys(flat)
+        by_length: dict[int, list[str]] = {}
+        for p in found:
+            by_length.setdefault(len(p), []).append(p)
         for length, own in by_length.items():
             step = max(1, (1 << 18) // max(1, length))
             for k in range(0, len(own) if length else 0, step):
                 part = own[k : k + step]
-                codes = codes_of([words[i] for i in part], length)
-                own_words = [words[i] for i in part]
-                for i, ids in zip(part, (self._paths if self.kind == UNIGRAM else self._merged)(codes, own_words)):
-                    out[i] = ids
-        return out
+                found.update(zip(part, self._paths(codes_of(part, length), part)))
+        return [found[own[0]] or [] if len(own) == 1 else [i for p in own for i in found[p]] for own in parts]
 
     def _known(self, word: str, edges: list[int], found: list[int]) -> list[int]:
         """The ids found between the edges, unknown ones replaced by those of their bytes where the file has these."""
