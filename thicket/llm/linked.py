@@ -21,6 +21,8 @@ from thicket.llm.store import dropped, tidied, written
 
 #: For lists of contents whether each pair of them is linked.
 Linked = Callable[[list[bytes], list[bytes]], np.ndarray]
+#: Told how many nodes, ties and links there are, for those who want to watch; counts are made only for them.
+Say = Callable[[str], None]
 LEADERS = 32  #: of a bucket, in the first round
 CHUNK = 2000  #: ties that meet one copy of a content, about
 PAIR_BYTES = 16 << 20
@@ -61,7 +63,7 @@ def _labelled(df: DataFrame, labels: DataFrame, node: str, label: str) -> DataFr
     return df.join(named, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def linked_groups(members: DataFrame, contents: DataFrame, linked: Linked, say: Callable[[str], None] = lambda _: None) -> DataFrame:
+def linked_groups(members: DataFrame, contents: DataFrame, linked: Linked, say: Say | None = None) -> DataFrame:
     """node, label (the smallest node of its group) of the nodes that have links.
 
     members: bucket, node, leader (the bucket's rows of one leader needn't be all of them); contents: node, content.
@@ -70,7 +72,8 @@ def linked_groups(members: DataFrame, contents: DataFrame, linked: Linked, say:
     links = written(_confirmed(tried, contents, linked), "links")
     tidied(links)
     labels = components(links).withColumnRenamed("component", "label")
-    say(f"ties {tried.count()}, links {links.count()}")
+    if say:
+        say(f"ties {tried.count()}, links {links.count()}")
     left, n_leaders = members.select("bucket", "node"), LEADERS
     while True:
         named = _labelled(left, labels, "node", "component").distinct()
@@ -89,7 +92,8 @@ def linked_groups(members: DataFrame, contents: DataFrame, linked: Linked, say:
         pairs = met.select(F.greatest("node", "l.node").alias("u"), F.least("node", "l.node").alias("v")).distinct()
         ties = written(pairs.join(tried, ["u", "v"], "left_anti"), "ties")
         found = written(_confirmed(ties, contents, linked), "links")
-        say(f"leaders {n_leaders}, open {open_.count()}, ties {ties.count()}, links {found.count()}")
+        if say:
+            say(f"leaders {n_leaders}, open {open_.count()}, ties {ties.count()}, links {found.count()}")
         tidied(found)
         if found.take(1):
             links = links.unionByName(found)

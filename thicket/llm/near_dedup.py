@@ -15,7 +15,7 @@ gives no rows. Shingles are compared by 52-bit hashes of their words.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.components import join_back
-from thicket.llm.linked import Linked, linked_groups
+from thicket.llm.linked import Linked, Say, linked_groups
 from thicket.llm.store import dropped, tidied, written
 from thicket.llm.textbatch import cuts, mix, per_row, text_column, word_hashes, words_of
 
@@ -177,7 +177,7 @@ def near_groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = R
     return _groups(docs.withColumn("doc_id", _key(docs)), percent, size, rows, bands).select(own("doc_id"), "n_shingles", own("component_id"), "kept")
 
 
-def _groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = ROWS, bands: int = BANDS, say: Callable[[str], None] = lambda _: None) -> DataFrame:
+def _groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = ROWS, bands: int = BANDS, say: Say | None = None) -> DataFrame:
     table = written(sketches(docs, size, rows, bands), "sketches")
     kind = docs.schema["doc_id"].dataType.simpleString()
     nodes = written(
@@ -185,7 +185,8 @@ def _groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = ROWS,
     )
     members = _shared(nodes, percent)
     tidied(members)
-    say(f"rows {table.count()}, nodes {nodes.count()}, members {members.count()}")
+    if say:
+        say(f"rows {table.count()}, nodes {nodes.count()}, members {members.count()}")
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     sets = written(_sets(docs, wanted, size).dropDuplicates(["node"]), "sets")
     tidied(sets)
@@ -203,6 +204,6 @@ def near_dedup(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of docs, of each group of near duplicates the one with the smallest doc_id; texts without words stay."""
     if not docs.where("doc_id is null").take(1):
         return docs.join(_groups(docs, **options).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
-    kept = _groups(docs.withColumn("doc_id", _key(docs)), **options).where("kept").select(F.col("doc_id").alias("key")).distinct()
-    rows = docs.select("*", _key(docs).alias("key"))
-    return rows.join(kept, "key", "left_semi").select(*docs.columns)
+    kept = _groups(docs.select(_key(docs).alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("kept_key")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("own_row"), _key(docs).alias("row_key"))
+    return rows.join(kept, F.col("row_key") == F.col("kept_key"), "left_semi").select("own_row.*")

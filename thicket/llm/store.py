@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,6 +40,14 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def tidied(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files that nothing refers to any more; it does so when the driver collects garbage."""
+    """Let Spark drop the shuffle files that nothing refers to any more; it does so when the driver collects garbage.
+
+    Events that wait for their listeners refer to the plans that ended, so these are waited for.
+    """
+    sc = df.sparkSession.sparkContext
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    try:
+        sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    except Py4JError:  # they still wait; the next call may do more
+        pass
+    sc._jvm.System.gc()

@@ -189,11 +189,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word; distinct words are hashed once."""
-    from pandas.util import hash_array
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, the first one lowest; zeros follow the last."""
+    n = len(data)
+    padded = np.zeros(n + 16, np.uint8)
+    padded[:n] = data
+    out = np.empty((-(-n // 8), 8), np.uint64)
+    for k in range(8):
+        out[:, k] = padded[k : k + 8 * len(out)].view("<u8")
+    return out.ravel()[:n]
+
 
-    coded = words.dictionary_encode()
-    if not len(coded.dictionary):
-        return np.zeros(0, np.uint64)
-    return hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)[coded.indices.to_numpy()]
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, of its bytes and their number."""
+    data, ends = raw(words)
+    starts, left = ends[:-1].copy(), np.diff(ends)
+    out = left.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+    if not len(data):
+        return mix(out)
+    parts, on, x = eights(data), np.flatnonzero(left > 0), out[left > 0]
+    starts, left = starts[on], left[on]
+    while len(on):
+        last = left < 8
+        part = parts[starts] & np.where(last, (np.uint64(1) << (8 * (left & 7)).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
+        x = mix((x ^ part) * np.uint64(0x9E3779B97F4A7C15))
+        out[on] = x
+        more = left > 8
+        on, x, starts, left = on[more], x[more], starts[more] + 8, left[more] - 8
+    return out
