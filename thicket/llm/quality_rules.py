@@ -54,46 +54,42 @@ def _count(pattern: str) -> Column:
 
 def counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The column ``key`` and the counts the features are made of, by whole text."""
+    none = F.array().cast("array<string>")
     split = docs.select(
         key,
-        F.filter(F.split(F.col("text"), SPACES), lambda w: w != "").alias("words"),
-        F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        F.coalesce(F.array_remove(F.split(F.col("text"), SPACES), ""), none).alias("words"),
+        F.coalesce(F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), none).alias("lines"),
         F.coalesce(_count(SYMBOL), F.lit(0)).cast("long").alias("n_symbols"),
+        F.coalesce(F.char_length("text") - _count(r"[\x20\x09-\x0D]"), F.lit(0)).cast("long").alias("word_chars"),
     )
-    none = F.array().cast("array<string>")
-    split = split.select(key, F.coalesce("words", none).alias("words"), F.coalesce("lines", none).alias("lines"), "n_symbols")
     n = F.size("words")
-    windows = F.when(
-        n >= 3,
-        F.zip_with(
-            F.zip_with(F.slice("words", F.lit(1), F.greatest(n - 2, F.lit(0))), F.slice("words", F.lit(2), F.greatest(n - 2, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)),
-            F.slice("words", F.lit(3), F.greatest(n - 2, F.lit(0))),
-            lambda a, b: F.concat_ws(" ", a, b),
-        ),
-    ).otherwise(none)
+    word = lambda i, k: F.get("words", i + k)
+    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(word(i, 0), word(i, 1), word(i, 2)))).otherwise(F.array().cast("array<bigint>"))
     counted = split.select(
         key,
+        "words",
         n.cast("long").alias("n_words"),
-        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "word_chars",
         "n_symbols",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         windows.alias("windows"),
     )
-    # Only texts with a repeated window are sorted; equal windows become neighbours, whose starts are the repeats.
+    # Only texts in which a window's hash occurs again are sorted; equal windows become neighbours, whose starts are the repeats.
     again = F.size(F.array_distinct("windows")) < F.size("windows")
     ordered = F.when(again, F.array_sort(F.transform("windows", lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
     with_order = counted.select(*[c for c in counted.columns if c != "windows"], ordered.alias("o"))
     m = F.size("o")
     shifted = F.slice("o", F.lit(2), F.greatest(m - 1, F.lit(0)))
+    same = lambda p: (p["a"]["w"] == p["b"]["w"]) & (word(p["a"]["i"], 0) == word(p["b"]["i"], 0)) & (word(p["a"]["i"], 1) == word(p["b"]["i"], 1)) & (word(p["a"]["i"], 2) == word(p["b"]["i"], 2))
     # Two neighbours of equal words give both their starts.
     starts = F.array_sort(
         F.array_distinct(
-            F.flatten(F.transform(F.filter(F.arrays_zip(F.slice("o", F.lit(1), F.greatest(m - 1, F.lit(0))).alias("a"), shifted.alias("b")), lambda p: p["a"]["w"] == p["b"]["w"]), lambda p: F.array(p["a"]["i"], p["b"]["i"])))
+            F.flatten(F.transform(F.filter(F.arrays_zip(F.slice("o", F.lit(1), F.greatest(m - 1, F.lit(0))).alias("a"), shifted.alias("b")), same), lambda p: F.array(p["a"]["i"], p["b"]["i"])))
         )
     )
-    spread = with_order.select(*[c for c in with_order.columns if c != "o"], F.when(F.col("o").isNotNull(), starts).alias("s"))
+    spread = with_order.select(*[c for c in with_order.columns if c not in ("o", "words")], F.when(F.col("o").isNotNull(), starts).alias("s"))
     # Sorted starts s: each covers 3 words, less what the next start covers again.
     covered = F.aggregate(
         "s",
