@@ -14,29 +14,30 @@ from thicket.llm.textbatch import mix
 K = 64
 CHUNK = 1 << 20  #: bytes worked on at a time
 
-_B = 0x9E3779B97F4A7C15 | 1
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_POWERS: dict[str, np.ndarray] = {}
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_TABLES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(m)) for m in (0xD1342543DE82EF95, 0xA0761D6478BD642F)]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for the positions of a chunk."""
-    if not _POWERS:
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _B), ("down", pow(_B, -1, 1 << 64))):
-                x = np.full(CHUNK + 1, base, np.uint64)
-                x[0] = 1
-                _POWERS[name] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+def _powers(kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2**64, for the positions of a chunk."""
+    if kind not in _POWERS:
+        both = []
+        for base in (_BASES[kind], pow(_BASES[kind], -1, 1 << 64)):
+            x = np.full(CHUNK + 1, base, np.uint64)
+            x[0] = 1
+            both.append(np.cumprod(x, dtype=np.uint64))
+        _POWERS[kind] = both[0], both[1]
+    return _POWERS[kind]
 
 
 class Fingerprints:
-    """64-bit fingerprints of any substrings of at most CHUNK bytes, in constant time each."""
+    """64-bit fingerprints of any substrings of at most CHUNK bytes, in constant time each; of two independent kinds."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers()
+    def __init__(self, data: np.ndarray, kind: int = 0):
+        up, self.down = _powers(kind)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(_TABLES[kind][data] * up[: len(data)], out=self.sums[1:])
 
     def all_of(self, length: int) -> np.ndarray:
         """Of the substring of that length at each position."""

@@ -9,17 +9,21 @@ an entry once whatever its count, so a suffix that a third of all rows share com
 
 An anchor whose K bytes occur nowhere else has no repeated window. A segment that occurs again is repeated as a
 whole. Segments that only share their first K bytes with others are compared window by window, in the same
-way, as a second family. Windows are compared by 64-bit fingerprints, segments by 128 bits.
+way, as a second family. Windows, and segments of equal K bytes, are compared by two independent fingerprints of 64 bits.
 
-Defined results: null texts count as empty; texts shorter than ``length`` have no windows and keep everything;
-rows repeated with the same id are documents like others (each byte of both goes); extra columns are ignored;
-an empty table gives no rows. Removal may cut a character in two; ``kept_text`` drops what is left of it.
+The family can be kept (``Index``): a later batch's arrays are scanned against the levels that were written and join them; neither the
+earlier batches' texts nor their arrays are made anew, only those of their texts are read again that need a closer look.
+
+Defined results: null texts count as empty, and stay null; texts shorter than ``length`` have no windows and keep everything;
+rows repeated with the same id are documents like others (each byte of both goes); extra columns, whatever their names, are
+ignored or passed on; an empty table gives no rows. Removal may cut a character in two; ``without_repeats`` drops what is left of it.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -76,14 +80,17 @@ class Levels:
         return key[~same], sub[~same], many[~same]
 
 
-def _codes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each run of a bucket a code for each entry: 0 unique, 1 repeated as a whole, 2 shares its key only, 3 as 1, and to be
-    compared with those of code 2 (the first run that has it)."""
+def _scanned(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The levels of a bucket's family (batch below 0) after its new runs joined, and for each run, new or not, a code for each entry: 0
+    unique, 1 repeated as a whole, 2 shares its key only, 3 as 1, and to be compared with those of code 2 (the first run that has it)."""
     pdf = pdf.sort_values("batch", kind="stable")
-    runs = [(np.frombuffer(k, np.uint64), np.frombuffer(s, np.uint64), np.frombuffer(m, np.bool_).copy()) for k, s, m in zip(pdf["keys"], pdf["subs"], pdf["many"])]
-    family = Levels()
-    for run in runs:
-        family.add(run)
+    rows = [(np.frombuffer(k, np.uint64), np.frombuffer(s, np.uint64), np.frombuffer(m, np.bool_).copy()) for k, s, m in zip(pdf["keys"], pdf["subs"], pdf["many"])]
+    family, is_run = Levels(), pdf["batch"].to_numpy() >= 0
+    family.levels = [row for row, run in zip(rows, is_run) if not run][::-1]  # batch -1 is the first and largest
+    for row, run, new in zip(rows, is_run, pdf["fresh"].to_numpy()):
+        if run and new:
+            family.add(row)
+    levels = [(-1 - i, key[0], *(x.tobytes() for x in level), None) for i, level in enumerate(family.levels)]
     k, s, many = family.whole()
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
@@ -94,11 +101,12 @@ def _codes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     name = mix(k ^ mix(s))
     order = np.argsort(name)
     name, out = name[order], []
-    for rk, rs, _ in runs:
-        at = order[np.searchsorted(name, mix(rk ^ mix(rs)))]
-        out.append(code[at].tobytes())
-        code[at[code[at] == 3]] = 1
-    return pd.DataFrame({"batch": pdf["batch"].to_numpy(), "bucket": np.int32(key[0]), "codes": out})
+    for batch, (rk, rs, _), run in zip(pdf["batch"], rows, is_run):
+        if run:
+            at = order[np.searchsorted(name, mix(rk ^ mix(rs)))]
+            out.append((batch, key[0], None, None, None, code[at].tobytes()))
+            code[at[code[at] == 3]] = 1
+    return pd.DataFrame(levels + out, columns=["batch", "bucket", "keys", "subs", "many", "codes"])
 
 
 def _runs(batch: int, n_buckets: int, key: np.ndarray, sub: np.ndarray, count: np.ndarray) -> Iterator[tuple]:
@@ -240,9 +248,9 @@ def _windows(n_buckets: int, length: int) -> Callable:
                     for a in range(0, len(data), CHUNK - length + 1):
                         here = s[(s >= a) & (s <= a + CHUNK - length)]
                         if len(here):
-                            f = Fingerprints(data[a : a + CHUNK])
+                            one, two = (Fingerprints(data[a : a + CHUNK], kind).of(here - a, here - a + length) for kind in (0, 1))
                             zero = np.zeros(len(here), np.int64)
-                            own.entries(f.of(here - a, here - a + length), np.zeros(0, np.uint64), zero + base + i, here, zero)
+                            own.entries(one, two, zero + base + i, here, zero)
                             s = s[s > a + CHUNK - length]
                         if not len(s):
                             break
@@ -254,11 +262,21 @@ def _windows(n_buckets: int, length: int) -> Callable:
     return make
 
 
-def _judged(family: DataFrame, kind: str, length: int, spill: str) -> DataFrame:
+def _family(runs: DataFrame, index: Index | None, name: str) -> DataFrame:
+    """Codes of all runs, and the levels of the family that they make with those of the index; by bucket."""
+    fresh = runs.where("bucket >= 0").select("batch", "bucket", "keys", "subs", "many", F.lit(True).alias("fresh"))
+    if index is not None:
+        old = F.lit(False).alias("fresh")
+        levels = index.family.where("batch < 0").select("batch", "bucket", "keys", "subs", "many", old)
+        fresh = fresh.unionByName(levels).unionByName(index.runs.where("bucket >= 0").select("batch", "bucket", "keys", "subs", "many", old))
+    return written(fresh.groupBy("bucket").applyInPandas(_scanned, f"{_RUN}, codes binary"), name)
+
+
+def _judged(runs: DataFrame, family: DataFrame, kind: str, length: int, spill: str) -> DataFrame:
     """doc_id, th, full (repeated spans) and need (windows to compare) of the rows that have any."""
-    codes = family.where("bucket >= 0").select("batch", "bucket", "keys", "subs", "many").groupBy("bucket").applyInPandas(_codes, "batch long, bucket int, codes binary")
+    codes = family.where("batch >= 0").select("batch", "bucket", "codes")
     by_batch = codes.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "codes"))).alias("c"))  # a byte for each entry of the batch
-    local = family.where("bucket = -1").select("batch", "rank", "row", "at", "width", "ids", "hashes")
+    local = runs.where("bucket = -1").select("batch", "rank", "row", "at", "width", "ids", "hashes")
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -289,28 +307,67 @@ def _buckets(n: float) -> int:
     return int(min(MOST_BUCKETS, max(1, -(-n // BUCKET))))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, th (hash of the text), full, more: the repeated spans of documents that have any, as binary arrays of uint32 starts, then ends."""
+@dataclass(frozen=True)
+class Index:
+    """A family that was kept: suffix arrays by batch with what leads back to rows, and by bucket the levels and the arrays' codes."""
+
+    runs: DataFrame
+    family: DataFrame
+    n_buckets: int
+    n_batches: int  # numbers of batches are below
+
+    def dropped(self) -> None:
+        dropped(self.runs, self.family)
+
+
+def added(docs: DataFrame, index: Index | None = None, length: int = LENGTH) -> Index:
+    """The index with the suffix arrays of docs; without one, a new index."""
     if not K < length <= K + 255:
         raise ValueError(f"length must be above {K} and at most {K + 255}")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    texts = hashed(docs)
-    first = written(texts.mapInArrow(_suffixes(_buckets(2.2 * n_bytes / (length - K + 2)), length), _schema(kind)), "suffixes")
-    tidied(first)
-    spans = _judged(first, kind, length, "spans")
-    dropped(first)
+    if index is None:
+        n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        n_buckets = _buckets(2.2 * n_bytes / (length - K + 2))
+    else:
+        n_buckets = index.n_buckets
+    runs = written(hashed(docs).mapInArrow(_suffixes(n_buckets, length), _schema(kind)), "suffixes")
+    if index is not None:
+        runs = runs.withColumn("batch", F.col("batch") + index.n_batches)
+    tidied(runs)
+    family = _family(runs, index, "levels")
+    tidied(family)
+    every = runs if index is None else index.runs.unionByName(runs)
+    top = runs.agg(F.max("batch")).first()[0]
+    return Index(every, family, n_buckets, top + 1 if top is not None else index.n_batches if index else 0)
+
+
+def spans_of(index: Index, docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, th (hash of the text), full, more: the repeated spans of the index's documents that have any, as binary arrays of uint32 starts, then ends.
+
+    docs: all of these documents.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    spans = _judged(index.runs, index.family, kind, length, "spans")
     ask = spans.where("length(need) > 0").select("doc_id", "th", "need")
     n_windows = (ask.agg(F.sum(F.length("need"))).first()[0] or 0) / 8 * (length - K) / 2
-    second = written(join_by_text(texts, ask).mapInArrow(_windows(_buckets(n_windows), length), _schema(kind)), "windows")
+    second = written(join_by_text(hashed(docs), ask).mapInArrow(_windows(_buckets(n_windows), length), _schema(kind)), "windows")
     tidied(second)
-    more = _judged(second, kind, length, "window-spans")
-    dropped(second)
+    family = _family(second, None, "window-levels")
+    more = _judged(second, family, kind, length, "window-spans")
+    dropped(second, family)
     none = F.lit(None).cast("binary")
     both = spans.select("doc_id", "th", "full", none.alias("more")).unionByName(more.select("doc_id", "th", none.alias("full"), F.col("full").alias("more")))
     return both.groupBy("doc_id", "th").agg(F.max("full").alias("full"), F.max("more").alias("more"))
 
 
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """spans_of an index of docs alone, which isn't kept."""
+    index = added(docs, None, length)
+    out = spans_of(index, docs, length)
+    index.dropped()
+    return out
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"))
@@ -352,25 +409,31 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The input's columns, ``text`` without its repeats; rows whose whole text goes are dropped.
+    """The input's columns, ``text`` without its repeats; rows whose whole text goes are dropped, null and empty texts stay.
 
-    ``n_chars``, where there is such a column, is counted anew.
+    ``n_chars``, where there is such a column, is counted anew in rows that lose something.
     """
+    names = docs.columns
+    own = [f"c{i}" for i in range(len(names))]  # names that can't clash
+    at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts, stays, sizes = batch.column(own[at]).to_pylist(), [], {}
             for i, (full, more) in enumerate(zip(batch.column("full").to_pylist(), batch.column("more").to_pylist())):
                 if full or more:
-                    data = np.frombuffer((texts[i] or "").encode(), np.uint8)
-                    texts[i] = data[_removed(data, full, more)[0]].tobytes().decode(errors="ignore") or None
-            at = batch.schema.get_field_index("text")
-            out = batch.set_column(at, "text", pa.array(texts, pa.string()))
-            yield out.select([c for c in out.schema.names if c not in ("full", "more", "had")])
-
-    keyed = join_by_text(docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))), repeated_spans(docs, length), "left").drop("th")
-    keyed = keyed.select(*docs.columns, "full", "more")
-    out = keyed.mapInArrow(cut, docs.schema)
-    gone = F.col("text").isNull()
-    out = out.where(~gone) if "text" in docs.columns else out
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+                    data = np.frombuffer(texts[i].encode(), np.uint8)
+                    texts[i] = data[_removed(data, full, more)[0]].tobytes().decode(errors="ignore")
+                    sizes[i] = len(texts[i])
+                stays.append(i not in sizes or sizes[i] > 0)
+            columns = [batch.column(c) for c in own]
+            columns[at] = pa.array(texts, pa.string())
+            if counted >= 0 and sizes:
+                old = columns[counted]
+                columns[counted] = pa.array([sizes.get(i, x) for i, x in enumerate(old.to_pylist())], old.type)
+            yield pa.RecordBatch.from_arrays(columns, names=own).filter(pa.array(stays, pa.bool_()))
+
+    renamed = docs.toDF(*own)
+    keyed = renamed.select("*", F.col(own[names.index("doc_id")]).alias("doc_id"), F.xxhash64(F.coalesce(own[at], F.lit(""))).alias("th"))
+    met = join_by_text(keyed, repeated_spans(docs.select("doc_id", "text"), length), "left").select(*own, "full", "more")
+    return met.mapInArrow(cut, renamed.schema).toDF(*names)
