@@ -38,5 +38,5 @@ def test_suffix(spark):
 def test_lines(spark):
     a, b = prose(20, 1), prose(20, 2)
     rows = [(None, a), (None, b), (1, a[:-1] + "z"), (2, b + "\n" + a), (None, a + "\nx")]
-    got = sorted((r.doc_id or 0, r.n_removed) for r in line_dedup.line_report(frame(spark, rows), min_words=1).collect())
+    got = sorted((r.doc_id or 0, r.n_removed) for r in line_dedup.line_report(frame(spark, rows)).collect())
     assert got == [(0, 0), (0, 0), (0, 1), (1, 1), (2, 2)]
