@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from thicket import catalogue
+from thicket import catalogue, catalogue_details  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 

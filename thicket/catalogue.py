@@ -298,10 +298,17 @@ def four_levels(e: Engine) -> DataFrame:
     return q.nested_df().select("r_name", n("nations").alias("n_nations"), keys("nations", "n_name").alias("nations"), n(F.flatten("nations.suppliers")).alias("n_suppliers"))
 
 
-@query("""with d as (select d.doc_id, l.quality from documents d left join labels l on l.doc_id = d.doc_id) select doc_id, quality from d order by quality desc nulls last, doc_id limit 100""")
+NULLED = "coalesce(string_agg(cast(o_orderkey as varchar), ',' order by nullif(o_orderstatus, 'O') {0}, o_orderkey), '')"
+
+
+@query(f"""select c_custkey, {NULLED.format('desc nulls last')} as down, {NULLED.format('asc nulls first')} as up, {NULLED.format('asc nulls last')} as up_last from customer left join orders on o_custkey = c_custkey group by c_custkey""")
 def null_ordering(e: Engine) -> DataFrame:
-    q = e.select_as("document", lambda t: t["documents"].select("doc_id"), "doc_id").left_join_one("label", lambda qs: qs(e.tables["labels"].select("doc_id", "quality"), "doc_id"), "label.doc_id", "document.doc_id")
-    return q.order_by("label$$quality", "desc", "last").limit(100).nested_df().select("doc_id", F.col("label.quality").alias("quality"))
+    """Relations ordered by a column with nulls, at either end."""
+    own = orders(e.tables, "o_orderstatus").withColumn("status", F.nullif("o_orderstatus", F.lit("O")))
+    q = customers(e)
+    for key, direction, nulls in (("down", "desc", "last"), ("up", "asc", "first"), ("up_last", "asc", "last")):
+        q = q.left_join_many(key, lambda qs, d=direction, x=nulls: qs(own, "o_orderkey").order_by("status", d, x), f"{key}.o_custkey", "customer.c_custkey")
+    return q.nested_df().select("c_custkey", *[keys(k, "o_orderkey").alias(k) for k in ("down", "up", "up_last")])
 
 
 @query("""select conv_id, count(*) as n_turns, string_agg(role, ',' order by turn) as roles, max(length(text)) as longest from conversations group by conv_id""")

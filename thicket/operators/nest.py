@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thicket.errors import MappedSpecError
 from thicket.functions.ordering import Order, ordered_array
@@ -65,17 +66,30 @@ class NestSpec(ShapeMethods):
     def merge(self, other: NestSpec) -> NestSpec:
         return replace(self, _shape=self._shape.merged(other._shape), children=tuple({**dict(self.children), **dict(other.children)}.items()), attached=tuple({**dict(self.attached), **dict(other.attached)}.items()), auto=self.auto or other.auto)
 
-    # -- nesting ----------------------------------------------------------------------------------------------
+    # nesting
 
-    def apply(self, rows: Any, spark: SparkSession | None = None, sort: str = "all") -> DataFrame:
-        """A frame with a row for each entity of ``rows``: a flat frame, or Python rows. ``sort``: all levels, nested ones only, or none."""
+    def apply(self, rows: Any, spark: SparkSession | None = None, sort: str = "all") -> DataFrame | Row:
+        """A frame with a row for each entity of ``rows``: a flat frame, or Python rows. ``sort``: all levels, nested ones only, or none.
+
+        Entities of Python rows, or sorted on all levels, come in the order of their first rows where no ordering tells them apart; one
+        row (a dict or Row) gives one Row, whatever its key.
+        """
         if sort not in ("all", "nested", "none"):
             raise ValueError(f"sort must be all, nested or none, not {sort!r}")
-        df = rows if isinstance(rows, DataFrame) else spark.createDataFrame(list(rows))
+        if isinstance(rows, (dict, Row)):
+            row = rows.asDict() if isinstance(rows, Row) else rows
+            kinds = spark.createDataFrame([{k: v for k, v in row.items() if v is not None}]).schema
+            schema = T.StructType([T.StructField(k, kinds[k].dataType if k in kinds.names else T.StringType()) for k in row])
+            return self._applied(spark.createDataFrame([tuple(row.values())], schema), sort, True, True).first()
+        frame = isinstance(rows, DataFrame)
+        return self._applied(rows if frame else spark.createDataFrame(list(rows)), sort, not frame, False)
+
+    def _applied(self, df: DataFrame, sort: str, in_order: bool, any_key: bool) -> DataFrame:
         df = df.withColumn(_AT, F.monotonically_increasing_id())
-        made, columns = self._level(df, "", [], sort)
+        made, columns = self._level(df, "", [], sort, any_key=any_key)
         orders = [o.sort(columns) for o in self._orders()] if sort == "all" else []
-        made = made.orderBy(*orders, ref(_AT)) if orders else made.orderBy(ref(_AT))
+        if orders or in_order or sort == "all":
+            made = made.orderBy(*orders, ref(_AT))
         out = self._out(columns, self._own(df, ""), self._collected(made))
         return made.select(*[c.alias(n) for n, c in out.items()])
 
@@ -104,17 +118,25 @@ class NestSpec(ShapeMethods):
         array = F.coalesce(ref(name), F.array().cast(df.schema[name].dataType))
         return array if mode == "many" else guarded(F.size(array), F.get(array, F.lit(0)), mode, key)
 
-    def _level(self, df: DataFrame, prefix: str, above: list[str], sort: str) -> tuple[DataFrame, Scope]:
-        """(a row for each entity within each of the entities above, with its children's arrays; its columns)."""
+    def _level(self, df: DataFrame, prefix: str, above: list[str], sort: str, exploded: bool = False, any_key: bool = False) -> tuple[DataFrame, Scope]:
+        """(a row for each entity within each of the entities above, with its children's arrays; its columns).
+
+        ``exploded``: an ancestor has several relations, so that rows repeat. Where they don't and there are no children, rows are entities.
+        """
         keys = [prefix + k for k in self._shape.keys]
-        for k in keys:
+        for k in [] if any_key else keys:
             df = df.where(ref(k).isNotNull())
         by, raw = [*above, *keys], [prefix + c for c in self._own(df, prefix)]
         rest = [c for c in raw if c not in by]
-        first = F.min_by(F.struct(*[ref(c) for c in rest], ref(_AT)), ref(_AT)).alias("__first") if rest else F.struct(F.min(ref(_AT)).alias(_AT)).alias("__first")
-        made = df.groupBy(*[ref(c) for c in by]).agg(first).select(*[ref(c) for c in by], *[F.col("__first")[c].alias(c) for c in [*rest, _AT]])
+        modes = [mode for _, (mode, _, _) in self.children]
+        exploded = exploded or ("many" in modes and len(modes) > 1)
+        if not self.children and not exploded:
+            made = df.select(*[ref(c) for c in dict.fromkeys([*by, *rest, _AT])])
+        else:
+            first = F.min_by(F.struct(*[ref(c) for c in rest], ref(_AT)), ref(_AT)).alias("__first") if rest else F.struct(F.min(ref(_AT)).alias(_AT)).alias("__first")
+            made = df.groupBy(*[ref(c) for c in by]).agg(first).select(*[ref(c) for c in by], *[F.col("__first")[c].alias(c) for c in [*rest, _AT]])
         for key, (_, under, child) in self.children:
-            kids, scope = child._level(df, prefix + under, by, sort)
+            kids, scope = child._level(df, prefix + under, by, sort, exploded)
             value = struct_of(child._out(scope, [c for c in child._own(df, prefix + under)], child._collected(kids)))
             orders = child._orders() if sort != "none" else []
             columns = [o.column(scope) for o in orders] + [ref(_AT)]

@@ -7,6 +7,7 @@ from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import types as T
 
 from thicket.errors import NestedWriteError, NoResultError, UnknownCollectionError, translated
 from thicket.functions.ordering import Order, parse
@@ -63,7 +64,7 @@ class Query(ShapeMethods):
     def _with(self, **changes: Any) -> Query:
         return Query(replace(self.spec, **changes), self._tables)
 
-    # -- the base ---------------------------------------------------------------------------------------------
+    # the base
 
     def where(self, condition: Any) -> Query:
         """Filters the base, before any relation; a column, SQL text, or a function of the base's scope."""
@@ -105,6 +106,12 @@ class Query(ShapeMethods):
         """A Spark hint on the base."""
         return self._with(hints=(*self.spec.hints, (name, arguments)))
 
+    modify_front = hint
+
+    def modify_end(self, fn: Callable[[DataFrame], DataFrame]) -> Query:
+        """A change of the page's frame, where there is a limit or an offset, before relations meet it."""
+        return self._with(ends=(*self.spec.ends, fn))
+
     def map(self, fn: Callable[[Scope], Any]) -> Query:
         """A last step over finished entities: gives a dict of columns, or one column named ``value``."""
         return self._with_shape(maps=(*self.spec.shape.maps, fn))
@@ -113,7 +120,7 @@ class Query(ShapeMethods):
         """Another spec's shape on top of this one; the keys must be the same."""
         return self._with(shape=self.spec.shape.merged(other._shape))
 
-    # -- relations --------------------------------------------------------------------------------------------
+    # relations
 
     def _relation(self, key: str, child: Any, on: tuple, mode: str, method: str, lateral: bool) -> Query:
         if callable(child) and not isinstance(child, Query):
@@ -185,7 +192,7 @@ class Query(ShapeMethods):
     def attach_one_or_throw(self, key: str, fetch: Callable[[DataFrame], Any], match_child: Any, to_parent: Any = None) -> Query:
         return self._attached(key, fetch, match_child, to_parent, "one_or_throw")
 
-    # -- writes -----------------------------------------------------------------------------------------------
+    # writes
 
     def insert(self, write: Any) -> Query:
         """The rows that a write returns become the base; relations see the tables as they were before it."""
@@ -193,7 +200,7 @@ class Query(ShapeMethods):
 
     update = delete = write = insert
 
-    # -- results ----------------------------------------------------------------------------------------------
+    # results
 
     @property
     def compiler(self) -> Compiler:
@@ -212,9 +219,20 @@ class Query(ShapeMethods):
             return flat
         return flat.join(page.select(*self.spec.shape.keys), list(self.spec.shape.keys), "left_semi")
 
-    def nested_df(self) -> DataFrame:
-        """One row for each entity, relations as native structs and arrays."""
-        return self.compiler.nested()
+    def nested_df(self, by_key: bool = False) -> DataFrame:
+        """One row for each entity, relations as native structs and arrays; sorted only if an order or a page was asked for, or with ``by_key``."""
+        return self.compiler.nested(by_key)
+
+    def assert_type(self, schema: T.StructType | str) -> Query:
+        """This query; an error if its rows don't have these names and types."""
+        want = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if (have := self.nested_df().schema.simpleString()) != want.simpleString():
+            raise TypeError(f"rows are {have}, not {want.simpleString()}")
+        return self
+
+    def plan_text(self) -> str:
+        """The optimized logical plan of what ``nested_df`` computes."""
+        return self.nested_df()._jdf.queryExecution().optimizedPlan().toString()
 
     def count_df(self) -> DataFrame:
         return self.compiler.count()
@@ -224,7 +242,7 @@ class Query(ShapeMethods):
 
     def execute(self) -> list[Row]:
         with translated():
-            df = self.nested_df()
+            df = self.nested_df(by_key=True)
             if self.spec.write is not None:
                 df = self.spec.write.finish(df)
             return df.collect()

@@ -8,6 +8,7 @@ meet the parents' keys first. With a page, children are first cut down to the pa
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,7 +94,7 @@ class Compiler:
     def __init__(self, spec: QuerySpec):
         self.spec = spec
 
-    # -- the base and its page ------------------------------------------------------------------------------
+    # the base and its page
 
     def base(self, spec: QuerySpec) -> DataFrame:
         df = spec.base
@@ -169,24 +170,26 @@ class Compiler:
             if c.mode != "many" and c.method != "attach" and self._needs(spec, key):
                 self._join(level, key, c, None)
         if spec.limit is not None or spec.offset:
-            orders = [o.sort(level.scope()) for o in spec.orders()]
-            df = level.df.orderBy(*orders) if orders else level.df
+            df = level.df.orderBy(*[o.sort(level.scope()) for o in spec.page_orders()])
             df = df.offset(spec.offset) if spec.offset else df
             level.df = df.limit(spec.limit) if spec.limit is not None else df
+            for end in spec.ends:
+                level.df = end(level.df)
         return level
 
-    # -- relations ------------------------------------------------------------------------------------------
+    # relations
 
     def level(self, spec: QuerySpec, restrict: Callable[[DataFrame], DataFrame] | None = None) -> Level:
         """The page with all its relations."""
         level = self.page(spec) if restrict is None else self.filtered(spec, restrict)
         small = spec.limit is not None and spec.limit <= PAGE_BROADCAST
         page = level.df if spec.limit is not None or restrict is not None else None
+        fetched = self._fetched(level)
         for key, c in spec.collections:
             if key in level.results:
                 continue
             if c.method == "attach":
-                self._attach(level, key, c)
+                self._attach(level, key, c, fetched[key])
             else:
                 self._join(level, key, c, page, small)
         level.results = {key: level.results[key] for key, _ in spec.collections}
@@ -304,16 +307,26 @@ class Compiler:
         level.ones[key] = columns
         level.results[key] = guarded(ref(name + "n"), ref(name)[SEPARATOR], c.mode, key)
 
-    def _attach(self, level: Level, key: str, c: Collection) -> None:
-        """The fetch function is called once, with all parents; its rows are matched by key columns."""
+    def _fetched(self, level: Level) -> dict[str, DataFrame]:
+        """What the fetch functions of a level give, each called once with all parents; they run at the same time."""
+        attached = [(key, c) for key, c in level.spec.collections if c.method == "attach"]
+        if not attached:
+            return {}
         parents = level.df.select(*[ref(x) for x in level.raw])
-        fetched = c.child(parents)
-        if not isinstance(fetched, DataFrame) and not hasattr(fetched, "nested_df"):
-            fetched = level.df.sparkSession.createDataFrame(list(fetched))
-        for change in c.changes:
-            fetched = change(fetched)
-        if hasattr(fetched, "nested_df"):
-            fetched = fetched.nested_df()
+
+        def fetch(c: Collection) -> DataFrame:
+            rows = c.child(parents)
+            if not isinstance(rows, DataFrame) and not hasattr(rows, "nested_df"):
+                rows = level.df.sparkSession.createDataFrame(list(rows))
+            for change in c.changes:
+                rows = change(rows)
+            return rows.nested_df() if hasattr(rows, "nested_df") else rows
+
+        with ThreadPoolExecutor(len(attached)) as pool:
+            return dict(zip((key for key, _ in attached), pool.map(fetch, (c for _, c in attached))))
+
+    def _attach(self, level: Level, key: str, c: Collection, fetched: DataFrame) -> None:
+        """Fetched rows are matched by key columns."""
         name = f"{key}{SEPARATOR}"
         links = [f"{key}{SEPARATOR}{SEPARATOR}{i}" for i in range(len(c.match_child))]
         value = F.struct(*[ref(x) for x in fetched.columns])
@@ -321,8 +334,9 @@ class Compiler:
         for m in c.match_child:
             present = present.where(ref(m).isNotNull())
         # Lists keep the fetched order, as far as a frame has one.
-        listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col("__at"), value.alias("value"))), lambda x, y: F.when(x["__at"] < y["__at"], -1).otherwise(1)), lambda x: x["value"])
-        groups = present.withColumn("__at", F.monotonically_increasing_id()).groupBy(*[ref(m).alias(x) for m, x in zip(c.match_child, links)]).agg(listed.alias(name))
+        present = present.withColumn("__at", F.monotonically_increasing_id())
+        listed = ordered_array([Order(lambda _: F.col("__at"))], Scope({}), _kinds(present, [F.col("__at"), value]), value)
+        groups = present.groupBy(*[ref(m).alias(x) for m, x in zip(c.match_child, links)]).agg(listed.alias(name))
         to_parent = c.to_parent or level.spec.shape.keys
         level.df = level.df.join(groups, [ref(p) == ref(x) for p, x in zip(to_parent, links)], "left").drop(*links)
         if c.mode == "many":
@@ -330,11 +344,13 @@ class Compiler:
         else:
             level.results[key] = guarded(F.size(F.coalesce(ref(name), F.array().cast(groups.schema[name].dataType))), F.get(ref(name), F.lit(0)), c.mode, key)
 
-    # -- results --------------------------------------------------------------------------------------------
+    # results
 
-    def nested(self) -> DataFrame:
+    def nested(self, by_key: bool = False) -> DataFrame:
+        """Sorted if an order was asked for or there is a page; with ``by_key`` always."""
         level = self.level(self.spec)
-        orders = [o.sort(level.scope()) for o in self.spec.orders()]
+        sort = by_key or self.spec.shape.orders or self.spec.limit is not None or self.spec.offset
+        orders = [o.sort(level.scope()) for o in self.spec.orders()] if sort else []
         df = level.df.orderBy(*orders) if orders else level.df
         out = shaped(self.spec.shape, level.scope(), level.raw, level.results)
         return df.select(*[c.alias(n) for n, c in out.items()])

@@ -98,6 +98,7 @@ class QuerySpec:
     limit: int | None = None
     offset: int = 0
     hints: tuple[tuple[str, tuple], ...] = ()
+    ends: tuple[Callable, ...] = ()
     write: Any = None
 
     def with_shape(self, **changes: Any) -> QuerySpec:
@@ -113,3 +114,8 @@ class QuerySpec:
             named = {o.by for o in own}
             own += [Order(k) for k in self.shape.keys if k not in named]
         return own
+
+    def page_orders(self) -> list[Order]:
+        """The orderings that choose a page: always down to the key, so that a page is the same each time it is computed."""
+        own = self.orders()
+        return own + [Order(k) for k in self.shape.keys if k not in {o.by for o in own}]

@@ -2,15 +2,17 @@
 
 Spark has no RETURNING, so a write is made of two frames: the rows it returns, and the table after it. Both are computed
 from the version that was current when the write was made, which stays in place: relations joined to a write see the
-tables as they were before. Each table's commit is one rename of a marker; commits of several tables are not atomic together.
+tables as they were before. Who writes a version first claims its number by creating a file, which only one can; a version counts
+when it was written completely. Commits of several tables are not atomic together.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thicket.errors import EngineError
@@ -26,9 +28,7 @@ class Write:
     def commit(self) -> None:
         if self.done:
             return
-        if self.table.version() != self.started:
-            raise EngineError(f"{self.table.path} was written since this write was made")
-        self.table.save(self.after)
+        self.table.save(self.after, self.started + 1)
         self.done = True
 
     def finish(self, result: DataFrame) -> DataFrame:
@@ -75,22 +75,40 @@ class VersionedTable:
     def at(self, version: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{version}")
 
-    def save(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{self.version() + 1}")
+    def save(self, df: DataFrame, version: int | None = None) -> None:
+        """Write the next version, or the one given, which must be the next."""
+        number = self.version() + 1 if version is None else version
+        claim = self._Path(f"{self.path}/_claims/v{number}")
+        if number != self.version() + 1 or not self._claimed(claim):
+            raise EngineError(f"{self.path} was written since this write was made, or is being written")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.path}/v{number}")
+        except BaseException:
+            self._fs.delete(claim, False)
+            raise
+
+    def _claimed(self, claim: Any) -> bool:
+        """Whether the file is now there and wasn't before."""
+        self._fs.mkdirs(claim.getParent())
+        try:
+            return bool(self._fs.createNewFile(claim))
+        except Exception:  # some file systems raise where it is there already
+            if self._fs.exists(claim):
+                return False
+            raise
 
     def _numbered(self, rows: DataFrame, old: DataFrame) -> DataFrame:
-        """Rows with ids after the table's largest, in their order, without a global sort."""
+        """Rows with ids after the table's largest, in their order, without a global sort; they are computed once."""
         start = old.agg(F.max(self.id_column)).first()[0] or 0
-        placed = rows.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-        counts = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # a row for each partition
-        offsets, total = {}, 0
-        for p in sorted(counts):
-            offsets[p], total = total, total + counts[p]
-        offset = F.lit(0)
-        for p, o in offsets.items():
-            offset = F.when(F.col("__p") == p, F.lit(o)).otherwise(offset)
+        path = f"{self.path}/_rows-{uuid.uuid4().hex}"
+        rows.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()).write.parquet(path)
+        placed = self.spark.read.parquet(path)
+        # A row for each partition that the rows had.
+        before = F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+        offsets = placed.groupBy("__p").agg(F.count("*").alias("n")).select("__p", F.coalesce(before, F.lit(0)).alias("__before"))
         within = F.col("__i") - F.shiftleft(F.col("__p").cast("long"), 33)
-        return placed.withColumn(self.id_column, (F.lit(start) + 1 + offset + within).cast(old.schema[self.id_column].dataType)).drop("__p", "__i")
+        number = F.lit(start) + 1 + F.col("__before") + within
+        return placed.join(offsets, "__p").withColumn(self.id_column, number.cast(old.schema[self.id_column].dataType)).drop("__p", "__i", "__before")
 
     def insert(self, rows: DataFrame | Iterable[dict[str, Any]]) -> Write:
         """Missing columns are null, a missing id is the next number; returns the new rows."""
