@@ -86,7 +86,7 @@ def attach_one_or_throw(e: Engine) -> DataFrame:
     """Rows from outside (Python rows), of which each parent must have one."""
     fetched = lambda _: [r.asDict() for r in e.tables["nation"].select("n_nationkey", "n_name").collect()]
     q = e.select_as("supplier", "supplier", "s_suppkey").attach_one_or_throw("nation", fetched, match_child="n_nationkey", to_parent="s_nationkey")
-    return q.nested_df().select("s_suppkey", F.col("nation.n_nationkey").alias("n_nationkey"), F.col("nation.n_name").alias("n_name"))
+    return q.nested_df().select("s_suppkey", F.col("nation.n_nationkey").cast("int").alias("n_nationkey"), F.col("nation.n_name").alias("n_name"))
 
 
 @query("""with s as (select n_nationkey, n_regionkey, n_name || '=' || coalesce(string_agg(s_suppkey, '+' order by s_suppkey), '') as x from nation left join supplier on s_nationkey = n_nationkey group by n_nationkey, n_regionkey, n_name)
@@ -280,7 +280,7 @@ def hydrated_siblings(e: Engine) -> DataFrame:
 def scalar_aggregate(e: Engine) -> DataFrame:
     """A correlated count among the base's columns."""
     customer, order = e.tables["customer"], e.tables["orders"]
-    counted = customer.alias("c").select("c_custkey", "c_name", "c_nationkey", order.where(F.col("o_custkey") == F.col("c.c_custkey").outer()).agg(F.count("*")).scalar().alias("n_orders"))
+    counted = customer.alias("c").select("c_custkey", "c_name", "c_nationkey", order.where(F.col("o_custkey") == F.col("c.c_custkey").outer()).select(F.count("*")).scalar().alias("n_orders"))
     q = e.select_as("customer", counted, "c_custkey").left_join_one("nation", lambda qs: qs(e.tables["nation"], "n_nationkey"), "nation.n_nationkey", "customer.c_nationkey")
     return q.nested_df().select("c_custkey", "c_name", F.coalesce("n_orders", F.lit(0).cast("long")).alias("n_orders"), F.col("nation.n_name").alias("n_name"))
 

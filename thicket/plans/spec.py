@@ -57,7 +57,7 @@ class Shape:
     def merged(self, other: Shape) -> Shape:
         if self.keys != other.keys:
             raise KeyMismatchError(f"keys {self.keys} and {other.keys} differ")
-        fields = self.fields if other.fields is None else tuple({**dict(self.fields or ()), **dict(other.fields)}.items())
+        fields = self.fields if not other.fields else tuple({**dict(self.fields or ()), **dict(other.fields)}.items())
         return replace(
             self,
             fields=fields,
