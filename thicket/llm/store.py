@@ -42,10 +42,12 @@ def dropped(*tables: DataFrame) -> None:
 def tidied(df: DataFrame) -> None:
     """Let Spark drop the shuffle files that nothing refers to any more; it does so when the driver collects garbage.
 
-    Events that wait for their listeners refer to the plans that ended, so these are waited for.
+    Events refer to the plans that ended, those that wait for their listeners and the last one that a listener got; so another one
+    follows, and the listeners are waited for.
     """
     sc = df.sparkSession.sparkContext
     gc.collect()
+    df.sparkSession.sql("select 1").collect()
     try:
         sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     except Py4JError:  # they still wait; the next call may do more
