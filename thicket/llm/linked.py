@@ -24,6 +24,7 @@ Linked = Callable[[list[bytes], list[bytes]], np.ndarray]
 #: Told how many nodes, ties and links there are, for those who want to watch; counts are made only for them.
 Say = Callable[[str], None]
 LEADERS = 32  #: of a bucket, in the first round
+BROADCAST_LEADERS = 512  #: of at most 1000 hot buckets, 40 bytes each
 CHUNK = 2000  #: ties that meet one copy of a content, about
 PAIR_BYTES = 16 << 20
 
@@ -88,7 +89,9 @@ def linked_groups(members: DataFrame, contents: DataFrame, linked: Linked, say:
         ranked = open_.join(sizes, ["bucket", "component"]).withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("size", "component", "node")))
         leaders = written(ranked.where(F.col("k") <= n_leaders).select("bucket", F.struct("node", "component").alias("leader"), "n"), "bucket-leaders")
         listed = leaders.groupBy("bucket").agg(F.collect_list("leader").alias("leaders"), F.first("n").alias("n"))  # at most n_leaders each
-        met = join_back(open_.drop("n"), listed, "bucket").select("node", "component", F.explode("leaders").alias("l")).where("component <> l.component")
+        # Lists of hot buckets are broadcast while they are short.
+        near = join_back(open_.drop("n"), listed, "bucket") if n_leaders <= BROADCAST_LEADERS else open_.drop("n").join(listed.drop("n"), "bucket")
+        met = near.select("node", "component", F.explode("leaders").alias("l")).where("component <> l.component")
         pairs = met.select(F.greatest("node", "l.node").alias("u"), F.least("node", "l.node").alias("v")).distinct()
         ties = written(pairs.join(tried, ["u", "v"], "left_anti"), "ties")
         found = written(_confirmed(ties, contents, linked), "links")

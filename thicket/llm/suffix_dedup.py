@@ -40,7 +40,7 @@ from thicket.llm.textbatch import cuts, mix, ranges, raw, text_column
 LENGTH = 200
 FLUSH = 1 << 20  #: suffixes of a batch's array, about
 BUCKET = 1 << 20  #: entries of a partition of the family, about
-MOST_BUCKETS = 1 << 15
+MOST_BUCKETS = 1 << 19
 
 _RUN = "batch long, bucket int, keys binary, subs binary, many binary"
 
