@@ -341,13 +341,16 @@ def added(docs: DataFrame, index: Index | None = None, length: int = LENGTH) ->
     return Index(every, family, n_buckets, top + 1 if top is not None else index.n_batches if index else 0)
 
 
-def spans_of(index: Index, docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def spans_of(index: Index, docs: DataFrame, length: int = LENGTH, keep: bool = True) -> DataFrame:
     """doc_id, th (hash of the text), full, more: the repeated spans of the index's documents that have any, as binary arrays of uint32 starts, then ends.
 
-    docs: all of these documents.
+    docs: all of these documents. Without ``keep`` the index is deleted as soon as nothing more is read from it.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = _judged(index.runs, index.family, kind, length, "spans")
+    if not keep:
+        index.dropped()
+    tidied(spans)
     ask = spans.where("length(need) > 0").select("doc_id", "th", "need")
     n_windows = (ask.agg(F.sum(F.length("need"))).first()[0] or 0) / 8 * (length - K) / 2
     second = written(join_by_text(hashed(docs), ask).mapInArrow(_windows(_buckets(n_windows), length), _schema(kind)), "windows")
@@ -355,6 +358,7 @@ def spans_of(index: Index, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     family = _family(second, None, "window-levels")
     more = _judged(second, family, kind, length, "window-spans")
     dropped(second, family)
+    tidied(more)
     none = F.lit(None).cast("binary")
     both = spans.select("doc_id", "th", "full", none.alias("more")).unionByName(more.select("doc_id", "th", none.alias("full"), F.col("full").alias("more")))
     return both.groupBy("doc_id", "th").agg(F.max("full").alias("full"), F.max("more").alias("more"))
@@ -362,10 +366,7 @@ def spans_of(index: Index, docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """spans_of an index of docs alone, which isn't kept."""
-    index = added(docs, None, length)
-    out = spans_of(index, docs, length)
-    index.dropped()
-    return out
+    return spans_of(added(docs, None, length), docs, length, keep=False)
 
 
 def hashed(docs: DataFrame) -> DataFrame:
