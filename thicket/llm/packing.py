@@ -2,11 +2,11 @@
 
 Documents are tokenized where they are read; only (id, piece, length) of their pieces is packed. Pieces are spread
 over groups of about GROUP pieces, each packed by best fit decreasing; lower bounds from dual feasible functions
-certify a group's number of sequences. A certified group closes: nothing within it can be packed better. The sequences with gaps
-of the other groups give their pieces up: these are exchanged between groups and packed again, until their groups are certified
-too, or two rounds on end save no sequence. What then is left are the closed groups' sequences with gaps, few to a group; they are
-exchanged in the same way, in fewer groups each time, until one group is left, the whole table's bound is met, or nothing is
-saved any more. A repacking that needs more sequences than before isn't taken.
+certify a group's number of sequences. A certified group rests: nothing within it can be packed better. The sequences with gaps of the
+other groups give their pieces up: these are exchanged between groups and packed again, until their groups are certified
+too, or two rounds on end save no sequence. Only if the whole table's bound isn't met then, what is left exchanges once more,
+together with the resting groups' sequences with gaps and in larger groups each time (up to WIDEST times GROUP), until one
+group is left, the bound is met, or nothing is saved any more. A repacking that needs more sequences than before isn't taken.
 
 Defined results: a null or empty text is one piece, the end mark alone; a document longer than ``capacity`` is
 cut into pieces of ``capacity`` tokens after a first one that may be shorter; repeated rows are packed each for
@@ -32,6 +32,7 @@ from thicket.llm.textbatch import Dictionary, cuts, per_row, pieces_before_space
 CAPACITY = 1024
 END = 2
 GROUP = 50_000
+WIDEST = 16
 BATCH_BYTES = 4 << 20
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -147,7 +148,7 @@ def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
 
 
 def _round(open_pieces: DataFrame, number: int, n_groups: int, capacity: int) -> DataFrame:
-    """One round of best fit decreasing by groups: rid, length, sequence_id, offset, full; groups keep an earlier packing of theirs if it isn't worse."""
+    """One round of best fit decreasing by groups: rid, length, sequence_id, offset, full, certified; groups keep an earlier packing of theirs if it isn't worse."""
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = pdf["length"].to_numpy()
@@ -157,10 +158,9 @@ def _round(open_pieces: DataFrame, number: int, n_groups: int, capacity: int) ->
         was = pdf["sequence_id"].to_numpy()
         if number and len(np.unique(was)) <= len(filled):  # those sequences lie in this group as a whole
             name, offset = was, pdf["offset"].to_numpy()
-            room = capacity - pdf.groupby("sequence_id")["length"].transform("sum").to_numpy()
-        else:
-            room = capacity - filled[sequence]
-        return pd.DataFrame({"rid": pdf["rid"], "length": lengths, "sequence_id": name, "offset": offset, "full": room == 0, "certified": certified})
+        own, at = np.unique(name, return_inverse=True)
+        room = capacity - np.bincount(at, lengths).astype(np.int64)
+        return pd.DataFrame({"rid": pdf["rid"], "length": lengths, "sequence_id": name, "offset": offset, "full": (room == 0)[at], "certified": certified})
 
     by = "rid" if not number else "sequence_id"  # later, a sequence's pieces stay together
     keyed = open_pieces.withColumn("g", F.pmod(F.xxhash64(by, F.lit(number)), F.lit(n_groups)).cast("int"))
@@ -179,9 +179,9 @@ def packed(pieces_: DataFrame, capacity: int = CAPACITY, group: int = GROUP) ->
     left, done, number = int(counts[:capacity].sum()), int(counts[capacity]), 0
     now = table.where(F.col("length") < capacity).select("rid", "length", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     closed, waiting = [], []  # waiting: (sequences with gaps of closed groups, how many pieces, how many sequences)
-    fewest, idle, last = None, 0, False
+    fewest, idle, scale, opened = None, 0, 1, None  # opened: the fewest sequences when the resting groups last joined in
     while left:
-        n_groups = max(1, left // group)
+        n_groups = max(1, left // (group * scale))
         result = written(_round(now, number, n_groups, capacity), f"packing-{number}")
         have = {(r["full"], r["certified"]): (r["n"], r["s"]) for r in result.groupBy("full", "certified").agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("s")).collect()}  # at most four rows
         done += sum(s for (full, _), (_, s) in have.items() if full)
@@ -190,7 +190,7 @@ def packed(pieces_: DataFrame, capacity: int = CAPACITY, group: int = GROUP) ->
         idle = 0 if fewest is None or total < fewest else idle + 1
         fewest = total if fewest is None else min(total, fewest)
         closed.append(result.where("full"))
-        more = idle < 2 and gaps > 0 and n_groups > 1
+        more, alone = idle < 2 and gaps > 0 and n_groups > 1, n_groups == 1 and not waiting
         if settled:
             waiting.append((result.where("not full and certified"), settled, held))
         if gaps and not more:
@@ -199,9 +199,9 @@ def packed(pieces_: DataFrame, capacity: int = CAPACITY, group: int = GROUP) ->
         columns = ["rid", "length", "sequence_id", "offset"]
         if total > bound and more:
             now, left = result.where("not full and not certified").select(*columns), gaps
-        elif total > bound and waiting and not (last and (n_groups == 1 or idle)):
-            # Once more for all that wait; the groups are fewer, or others.
-            now, left, idle, last = functools.reduce(DataFrame.unionByName, (w.select(*columns) for w, _, _ in waiting)), sum(n for _, n, _ in waiting), 0, True
+        elif total > bound and waiting and not alone and not (scale == WIDEST and fewest == opened):
+            opened, idle = fewest, 0
+            now, left, scale = functools.reduce(DataFrame.unionByName, (w.select(*columns) for w, _, _ in waiting)), sum(n for _, n, _ in waiting), min(WIDEST, 4 * scale)
             waiting = []
         else:
             if more:
