@@ -67,7 +67,8 @@ def _labelled(df: DataFrame, labels: DataFrame, node: str, label: str) -> DataFr
 def linked_groups(members: DataFrame, contents: DataFrame, linked: Linked, say: Say | None = None) -> DataFrame:
     """node, label (the smallest node of its group) of the nodes that have links.
 
-    members: bucket, node, leader (the bucket's rows of one leader needn't be all of them); contents: node, content.
+    members: bucket, node, leader (the bucket's rows of one leader needn't be all of them), more (whether the bucket has, or may have, other
+    pairs than those of its leader); contents: node, content.
     """
     tried = written(members.where("node <> leader").select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct(), "ties")
     links = written(_confirmed(tried, contents, linked), "links")
@@ -75,7 +76,7 @@ def linked_groups(members: DataFrame, contents: DataFrame, linked: Linked, say:
     labels = components(links).withColumnRenamed("component", "label")
     if say:
         say(f"ties {tried.count()}, links {links.count()}")
-    left, n_leaders = members.select("bucket", "node"), LEADERS
+    left, n_leaders = members.where("more").select("bucket", "node"), LEADERS
     while True:
         named = _labelled(left, labels, "node", "component").distinct()
         # Only buckets with two groups or more go on.

@@ -144,7 +144,7 @@ def _linked(percent: int) -> Linked:
 
 
 def _shared(nodes: DataFrame, percent: int) -> DataFrame:
-    """bucket, node, leader of the buckets that hold several nodes of nearly equal size.
+    """bucket, node, leader, more (there are more than two) of the buckets that hold several nodes of nearly equal size.
 
     Linked sets' sizes differ by a factor of 100 / percent at most; so buckets are cut into windows of sizes, each node in two of
     them, and two such nodes have a window in common.
@@ -157,7 +157,7 @@ def _shared(nodes: DataFrame, percent: int) -> DataFrame:
     windows = F.array(F.xxhash64("bucket", 2 * F.floor(x)), F.xxhash64("bucket", 2 * F.floor(x + 0.5) + 1))
     cut = written(members.select("node", F.explode(windows).alias("bucket")), "members")
     groups = cut.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    out = written(join_back(cut, groups, "bucket").select("bucket", "node", "leader"), "members")
+    out = written(join_back(cut, groups, "bucket").select("bucket", "node", "leader", (F.col("n") > 2).alias("more")), "members")
     dropped(cut)
     return out
 
