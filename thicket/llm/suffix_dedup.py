@@ -80,7 +80,7 @@ class Levels:
         return key[~same], sub[~same], many[~same]
 
 
-def _scanned(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _scanned(key: tuple, pdf: pd.DataFrame, keep: bool) -> pd.DataFrame:
     """The levels of a bucket's family (batch below 0) after its new runs joined, and for each run, new or not, a code for each entry: 0
     unique, 1 repeated as a whole, 2 shares its key only, 3 as 1, and to be compared with those of code 2 (the first run that has it)."""
     pdf = pdf.sort_values("batch", kind="stable")
@@ -90,7 +90,7 @@ def _scanned(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     for row, run, new in zip(rows, is_run, pdf["fresh"].to_numpy()):
         if run and new:
             family.add(row)
-    levels = [(-1 - i, key[0], *(x.tobytes() for x in level), None) for i, level in enumerate(family.levels)]
+    levels = [(-1 - i, key[0], *(x.tobytes() for x in level), None) for i, level in enumerate(family.levels if keep else [])]
     k, s, many = family.whole()
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
@@ -262,14 +262,14 @@ def _windows(n_buckets: int, length: int) -> Callable:
     return make
 
 
-def _family(runs: DataFrame, index: Index | None, name: str) -> DataFrame:
-    """Codes of all runs, and the levels of the family that they make with those of the index; by bucket."""
+def _family(runs: DataFrame, index: Index | None, name: str, keep: bool = True) -> DataFrame:
+    """Codes of all runs, and to ``keep`` the levels of the family that they make with those of the index; by bucket."""
     fresh = runs.where("bucket >= 0").select("batch", "bucket", "keys", "subs", "many", F.lit(True).alias("fresh"))
     if index is not None:
         old = F.lit(False).alias("fresh")
         levels = index.family.where("batch < 0").select("batch", "bucket", "keys", "subs", "many", old)
         fresh = fresh.unionByName(levels).unionByName(index.runs.where("bucket >= 0").select("batch", "bucket", "keys", "subs", "many", old))
-    return written(fresh.groupBy("bucket").applyInPandas(_scanned, f"{_RUN}, codes binary"), name)
+    return written(fresh.groupBy("bucket").applyInPandas(lambda key, pdf: _scanned(key, pdf, keep), f"{_RUN}, codes binary"), name)
 
 
 def _judged(runs: DataFrame, family: DataFrame, kind: str, length: int, spill: str) -> DataFrame:
@@ -355,7 +355,8 @@ def spans_of(index: Index, docs: DataFrame, length: int = LENGTH, keep: bool = T
     n_windows = (ask.agg(F.sum(F.length("need"))).first()[0] or 0) / 8 * (length - K) / 2
     second = written(join_by_text(hashed(docs), ask).mapInArrow(_windows(_buckets(n_windows), length), _schema(kind)), "windows")
     tidied(second)
-    family = _family(second, None, "window-levels")
+    family = _family(second, None, "window-codes", keep=False)
+    tidied(family)
     more = _judged(second, family, kind, length, "window-spans")
     dropped(second, family)
     tidied(more)
