@@ -5,6 +5,10 @@ in several groups go on in rounds: a round confirms a few nodes of each bucket (
 round) against the rest, unless that pair was tried or is tied already; then these leave the bucket. In the end every
 pair that shares a bucket was confirmed, or refuted, or is connected: no link is lost, nothing is capped, and no bucket is
 gathered in one place. Contents meet by key; of a node that many others are confirmed against, copies are spread.
+
+Where contents have short sketches that can refute a link for certain, no leaders are needed: blocks of a bucket's sketches meet, all pairs
+of them, and only the pairs not refuted there are confirmed on contents, a few of each node first, so that a linked group isn't written
+as all its pairs.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +26,16 @@ from thicket.llm.store import dropped, tidied, written
 
 #: For lists of contents whether each pair of them is linked.
 Linked = Callable[[list[bytes], list[bytes]], np.ndarray]
+#: For two lists of sketches whether they refute a link, a row for each of the first, a column for each of the second.
+Refuted = Callable[[list[bytes], list[bytes]], np.ndarray]
 #: Told how many nodes, ties and links there are, for those who want to watch; counts are made only for them.
 Say = Callable[[str], None]
 LEADERS = 32  #: of a bucket, in the first round
 BROADCAST_LEADERS = 512  #: of at most 1000 hot buckets, 40 bytes each
 CHUNK = 2000  #: ties that meet one copy of a content, about
 PAIR_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 19  #: of sketches that meet another block of their bucket, about
+LOT_BYTES = 4 << 20  #: of small buckets that one call takes together, about
 
 
 def _confirmed(ties: DataFrame, contents: DataFrame, linked: Linked) -> DataFrame:
@@ -64,11 +73,86 @@ def _labelled(df: DataFrame, labels: DataFrame, node: str, label: str) -> DataFr
     return df.join(named, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def linked_groups(members: DataFrame, contents: DataFrame, linked: Linked, say: Say | None = None) -> DataFrame:
+def _open(left: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, node, component of the buckets that have nodes of several groups, and n, how many nodes the bucket has."""
+    named = _labelled(left, labels, "node", "component").distinct()
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    several = sizes.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("size").alias("n")).where("groups > 1")
+    return written(join_back(named, several.select("bucket", "n"), "bucket"), "bucket-members")
+
+
+def _met(open_: DataFrame, sketches: DataFrame, refuted: Refuted, most: int, block_bytes: int) -> DataFrame:
+    """bucket, u, v of the pairs of open buckets that lie in different groups and that sketches don't refute.
+
+    Of a node with more than ``most`` of them in a block only the first ones are given, and these have ``more``.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, i, j, block = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "block"))
+        component = pc.dictionary_encode(table.column("component").combine_chunks()).indices.to_numpy()
+        nodes, own = table.column("node").to_pylist(), table.column("sketch").to_pylist()
+        order = np.lexsort((block, j, i, bucket))
+        key = np.stack([bucket, i, j])[:, order]
+        new = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))
+        out: list[tuple] = []
+        for part in np.split(order, np.flatnonzero(new)[1:]):
+            same = i[part[0]] == j[part[0]]
+            one, two = (part, part) if same else (part[block[part] == i[part]], part[block[part] == j[part]])
+            hit = component[one][:, None] != component[two][None, :]
+            if same:
+                hit = np.triu(hit, 1)
+            if not hit.any():
+                continue
+            hit &= ~refuted([own[x] for x in one], [own[x] for x in two])
+            so_far = np.cumsum(hit, axis=1, dtype=np.int32)
+            more = so_far[:, -1] > most if len(two) else np.zeros(len(one), bool)
+            for x, y in np.argwhere(hit & (so_far <= most)).tolist():
+                a, b = nodes[one[x]], nodes[two[y]]
+                out.append((int(bucket[part[0]]), max(a, b), min(a, b), bool(more[x])))
+        node = table.schema.field("node").type
+        return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate((("bucket", pa.int64()), ("u", node), ("v", node), ("more", pa.bool_())))})
+
+    kind = open_.schema["node"].dataType.simpleString()
+    rows = written(open_.drop("n").join(sketches.select("node", "sketch"), "node"), "bucket-sketches")
+    size = F.count("*") * F.max(F.length("sketch"))
+    buckets = written(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.ceil(size / block_bytes).cast("int").alias("blocks"), size.alias("bytes")), "bucket-sizes")
+    lots = max(1, (buckets.where("blocks = 1").agg(F.sum("bytes")).first()[0] or 0) // LOT_BYTES)
+    dealt = join_back(rows, buckets.drop("bytes"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    lot = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(lots))).otherwise(F.xxhash64("bucket", "i", "j"))
+    met = sent.select("bucket", "i", "j", "block", "node", "component", "sketch", lot.alias("lot")).groupBy("lot").applyInArrow(run, f"bucket long, u {kind}, v {kind}, more boolean")
+    out = written(met, "met")
+    dropped(rows, buckets)
+    return out
+
+
+def _linked_by_sketches(left: DataFrame, contents: DataFrame, linked: Linked, refuted: Refuted, links: DataFrame, labels: DataFrame, tried: DataFrame, say: Say | None, most: int, block_bytes: int) -> DataFrame:
+    while True:
+        open_ = _open(left, labels)
+        if not open_.take(1):
+            dropped(open_)
+            return labels
+        met = _met(open_, contents, refuted, most, block_bytes)
+        ties = written(met.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), "ties")
+        found = written(_confirmed(ties, contents, linked), "links")
+        if say:
+            say(f"most {most}, open {open_.count()}, met {met.count()}, ties {ties.count()}, links {found.count()}")
+        tidied(found)
+        if found.take(1):
+            links = links.unionByName(found)
+            labels = components(links).withColumnRenamed("component", "label")
+        # Of other buckets every pair was tried, refuted or is connected.
+        left = written(open_.select("bucket", "node").join(met.where("more").select("bucket").distinct(), "bucket", "left_semi"), "bucket-left")
+        dropped(open_, met)
+        tried = tried.unionByName(ties)
+        most *= 16
+
+
+def linked_groups(members: DataFrame, contents: DataFrame, linked: Linked, say: Say | None = None, refuted: Refuted | None = None, most: int = LEADERS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """node, label (the smallest node of its group) of the nodes that have links.
 
     members: bucket, node, leader (the bucket's rows of one leader needn't be all of them), more (whether the bucket has, or may have, other
-    pairs than those of its leader); contents: node, content.
+    pairs than those of its leader); contents: node, content and, if there is ``refuted``, sketch.
     """
     tried = written(members.where("node <> leader").select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct(), "ties")
     links = written(_confirmed(tried, contents, linked), "links")
@@ -77,12 +161,10 @@ def linked_groups(members: DataFrame, contents: DataFrame, linked: Linked, say:
     if say:
         say(f"ties {tried.count()}, links {links.count()}")
     left, n_leaders = members.where("more").select("bucket", "node"), LEADERS
+    if refuted:
+        return _linked_by_sketches(left, contents, linked, refuted, links, labels, tried, say, most, block_bytes)
     while True:
-        named = _labelled(left, labels, "node", "component").distinct()
-        # Only buckets with two groups or more go on.
-        sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        several = sizes.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("size").alias("n")).where("groups > 1")
-        open_ = written(join_back(named, several.select("bucket", "n"), "bucket"), "bucket-members")
+        open_ = _open(left, labels)  # only buckets with two groups or more go on
         if not open_.take(1):
             dropped(open_, tried)
             return labels

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.components import join_back
-from thicket.llm.linked import Linked, Say, linked_groups
+from thicket.llm.linked import Linked, Refuted, Say, linked_groups
 from thicket.llm.store import dropped, tidied, written
 from thicket.llm.textbatch import cuts, mix, per_row, text_column, word_hashes, words_of
 
@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, size: int = 2, rows: int = ROWS, bands: int = BAND
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node and content (its shingles) of the wanted nodes, from the row that stands for each."""
+    """node, content (its shingles) and sketch of the wanted nodes, from the row that stands for each."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
@@ -122,11 +122,46 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             at = np.cumsum(counts) - counts
             rows = [(i, x[a : a + c].tobytes()) for i, (a, c, node) in enumerate(zip(at, counts, part.column("node").to_pylist())) if names[i].tobytes() == node]
             take = pa.array([i for i, _ in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("node").take(take), pa.array([s for _, s in rows], pa.binary())], names=["node", "content"])
+            sketch = [parities(np.frombuffer(s, np.uint64)) for _, s in rows]
+            yield pa.RecordBatch.from_arrays([part.column("node").take(take), pa.array([s for _, s in rows], pa.binary()), pa.array(sketch, pa.binary())], names=["node", "content", "sketch"])
 
     keyed = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id"), "node"), "doc_id")
     # Several rows may have the id of the row that stands for a node.
-    return keyed.mapInArrow(make, "node binary, content binary")
+    return keyed.mapInArrow(make, "node binary, content binary, sketch binary")
+
+
+def parities(x: np.ndarray) -> bytes:
+    """A set's size, and for bins of its hashes (four to eight for each, a power of two) whether they hold an odd number of them."""
+    n = 1 << max(8, (4 * len(x) - 1).bit_length())
+    odd = np.bincount((x & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.uint64(len(x)).tobytes() + np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _refuted(percent: int) -> Refuted:
+    """Bins of different parity are no more than the hashes that only one of two sets has: too many of them refute a link for certain."""
+
+    def refuted(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(a), len(b)), bool)
+        sides = []
+        for side in (a, b):
+            by: dict[int, list[int]] = {}
+            for k, t in enumerate(side):
+                by.setdefault(len(t), []).append(k)
+            sides.append([(np.array(at), np.frombuffer(b"".join(side[k] for k in at), np.uint64).reshape(len(at), -1)) for at in by.values()])
+        for at, x in sides[0]:
+            for to, y in sides[1]:
+                p, q = x[:, 1:], y[:, 1:]
+                while p.shape[1] > q.shape[1]:
+                    p = p[:, : p.shape[1] // 2] ^ p[:, p.shape[1] // 2 :]
+                while q.shape[1] > p.shape[1]:
+                    q = q[:, : q.shape[1] // 2] ^ q[:, q.shape[1] // 2 :]
+                n = y[:, 0].astype(np.int64)
+                for k, own in enumerate(p):
+                    apart = np.bitwise_count(q ^ own).sum(axis=1, dtype=np.int64)
+                    out[at[k], to] = apart * (100 + percent) > (100 - percent) * (n + int(x[k, 0]))
+        return out
+
+    return refuted
 
 
 def _linked(percent: int) -> Linked:
@@ -190,7 +225,7 @@ def _groups(docs: DataFrame, percent: int = 80, size: int = 2, rows: int = ROWS,
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     sets = written(_sets(docs, wanted, size).dropDuplicates(["node"]), "sets")
     tidied(sets)
-    labels = linked_groups(members, sets, _linked(percent), say)
+    labels = linked_groups(members, sets, _linked(percent), say, _refuted(percent))
     dropped(sets, members)
     own = nodes.select("node", "rep", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
