@@ -32,6 +32,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_MARKS = np.uint64(43)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -66,6 +67,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def _marked(prints: np.ndarray) -> np.ndarray:
+    """For the highest bits of fingerprints whether any of ``prints`` starts so."""
+    out = np.zeros(1 << 64 - int(_MARKS), bool)
+    out[prints >> _MARKS] = True
+    return out
+
+
 class Prefixes:
     """Fingerprints of the substrings of equally long words: rows of character codes."""
 
@@ -115,6 +123,7 @@ class Model:
         ids = np.array([names[p] for n in range(1, self.longest + 1) for p in names if len(p) == n], np.int64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
+        self.may = _marked(self.keys)
         self.scores = np.array([s for _, s, _ in pieces], np.float32)[self.ids]
         if self.kind == BPE:
             self._merges(names, {p: pieces[i][1] for p, i in names.items()})
@@ -132,8 +141,12 @@ class Model:
 
     def probe(self, prints: np.ndarray) -> np.ndarray:
         """Place of each fingerprint among the sorted keys, or -1."""
-        at = np.minimum(np.searchsorted(self.keys, prints), len(self.keys) - 1)
-        return np.where(self.keys[at] == prints, at, -1)
+        out = np.full(prints.shape, -1, np.int64)
+        some = np.nonzero(self.may[prints >> _MARKS])  # few substrings are pieces
+        own = prints[some]
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        out[some] = np.where(self.keys[at] == own, at, -1)
+        return out
 
     def _merges(self, names: dict[str, int], scores: dict[str, float]) -> None:
         """Tables of a BPE file: for each piece, numbered in the order in which merges take it, the two that it is merged from.
@@ -177,6 +190,7 @@ class Model:
         keys = np.array([a * len(order) + b for a, b in pairs], np.int64)
         by = np.argsort(keys)
         self.pair_keys, self.pair_values = keys[by], np.array(list(pairs.values()), np.int64)[by]
+        self.pair_may = _marked(self.pair_keys.astype(np.uint64) * _BASE)
 
     def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether piece b may follow piece a: undoing merges from both sides of the border finds none across it that came earlier."""
@@ -186,8 +200,10 @@ class Model:
         on, limit = np.arange(len(a)), np.full(len(a), n + 1)
         while len(on):
             key = a * n + b
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            joined = (self.pair_keys[at] == key) & (self.pair_values[at] < limit)
+            some = np.flatnonzero(self.pair_may[key.astype(np.uint64) * _BASE >> _MARKS])
+            at = np.minimum(np.searchsorted(self.pair_keys, key[some]), len(self.pair_keys) - 1)
+            joined = np.zeros(len(on), bool)
+            joined[some] = (self.pair_keys[at] == key[some]) & (self.pair_values[at] < limit[some])
             out[on[joined]] = False
             # The later merge of both sides is undone; if its piece is a character, that of the other side.
             first = a > b
@@ -234,14 +250,17 @@ class Model:
     def _paths(self, codes: np.ndarray, words: list[str]) -> list[list[int]]:
         """Per word its ids by the best path."""
         back, piece = self.viterbi(codes)
-        out = []
-        for b, p, w in zip(back.tolist(), piece.tolist(), words):
-            e, edges, ids = codes.shape[1], [], []
-            while e:
-                edges.append(e)
-                ids.append(p[e])
-                e = b[e]
-            out.append(self._known(w, [0, *edges[::-1]], ids[::-1]))
+        n, length = codes.shape
+        edge, rows, at = np.zeros((n, length + 1), bool), np.arange(n), np.full(n, length)
+        while len(rows):
+            edge[rows, at] = True
+            at = back[rows, at]
+            rows, at = rows[at > 0], at[at > 0]
+        ids, ends = piece[edge], np.cumsum(edge.sum(axis=1))
+        flat, ends = ids.tolist(), ends.tolist()
+        out = [flat[i:j] for i, j in zip([0, *ends], ends)]
+        for k in np.flatnonzero(((piece == self.unknown) & edge).any(axis=1)).tolist():
+            out[k] = self._known(words[k], [0, *np.flatnonzero(edge[k]).tolist()], out[k])
         return out
 
     def _parts(self, word: str) -> list[str]:

@@ -8,6 +8,7 @@ split without decoding them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +153,7 @@ class Dictionary:
         if missing:
             values = self.encode([names[i] for i in missing])
             sizes = np.fromiter(map(len, values), np.int32, len(values))
-            flat = np.concatenate([np.asarray(v, np.int32) for v in values]) if int(sizes.sum()) else np.zeros(0, np.int32)
+            flat = np.fromiter(chain.from_iterable(values), np.int32, int(sizes.sum()))
             self._room("ids", base + len(flat))
             self.ids[base : base + len(flat)] = flat
             self._room("at", count + len(missing))
