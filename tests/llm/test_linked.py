@@ -45,6 +45,21 @@ def test_blocks_and_rounds_lose_nothing(spark, monkeypatch, most):
     assert got == brute.near_groups(FAMILY)
 
 
+def test_large_blocks_of_small_sketches_are_looked_at_in_parts(spark):
+    n, at_once = 3000, 1 << 21
+
+    def refuted(a, b):
+        assert len(a) * len(b) <= at_once
+        x, y = ([int.from_bytes(t, "little") for t in side] for side in (a, b))
+        return np.abs(np.subtract.outer(x, y)) > 2
+
+    open_ = spark.range(n).selectExpr("1L as bucket", "id as node", "id as component", f"{n}L as n")
+    sketches = spark.createDataFrame([(k, k.to_bytes(8, "little")) for k in range(n)], "node long, sketch binary")
+    met = linked._met(open_, sketches, refuted, 32, linked.BLOCK_BYTES).collect()
+    assert sorted((r.v, r.u) for r in met) == sorted((k, k + d) for d in (1, 2) for k in range(n - d))
+    assert not any(r.more for r in met)
+
+
 def test_parities_refute_only_what_is_unlinked():
     rng = np.random.default_rng(3)
     sets = []

@@ -38,6 +38,8 @@ CHUNK = 2000  #: ties that meet one copy of a content, about
 PAIR_BYTES = 16 << 20
 BLOCK_BYTES = 1 << 19  #: of sketches that meet another block of their bucket, about
 LOT_BYTES = 4 << 20  #: of small buckets that one call takes together, about
+PAIRS = 1 << 21  #: of nodes of two blocks that are looked at together; small sketches make blocks of many nodes
+MET_ROWS = 1 << 16  #: pairs given on in a batch
 
 
 def _confirmed(ties: DataFrame, contents: DataFrame, linked: Linked) -> DataFrame:
@@ -89,30 +91,33 @@ def _met(open_: DataFrame, sketches: DataFrame, refuted: Refuted, most: int, blo
     Of a node with more than ``most`` of them in a block only the first ones are given, and these have ``more``.
     """
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         bucket, i, j, block = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "block"))
         component = pc.dictionary_encode(table.column("component").combine_chunks()).indices.to_numpy()
-        nodes, own = table.column("node").to_pylist(), table.column("sketch").to_pylist()
+        nodes, own = table.column("node").combine_chunks(), table.column("sketch").to_pylist()
         order = np.lexsort((block, j, i, bucket))
         key = np.stack([bucket, i, j])[:, order]
         new = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))
-        out: list[tuple] = []
         for part in np.split(order, np.flatnonzero(new)[1:]):
             same = i[part[0]] == j[part[0]]
             one, two = (part, part) if same else (part[block[part] == i[part]], part[block[part] == j[part]])
-            hit = component[one][:, None] != component[two][None, :]
-            if same:
-                hit = np.triu(hit, 1)
-            if not hit.any():
-                continue
-            hit &= ~refuted([own[x] for x in one], [own[x] for x in two])
-            so_far = np.cumsum(hit, axis=1, dtype=np.int32)
-            more = so_far[:, -1] > most if len(two) else np.zeros(len(one), bool)
-            for x, y in np.argwhere(hit & (so_far <= most)).tolist():
-                a, b = nodes[one[x]], nodes[two[y]]
-                out.append((int(bucket[part[0]]), max(a, b), min(a, b), bool(more[x])))
-        node = table.schema.field("node").type
-        return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate((("bucket", pa.int64()), ("u", node), ("v", node), ("more", pa.bool_())))})
+            theirs, step = [own[x] for x in two], max(1, PAIRS // max(1, len(two)))
+            for k in range(0, len(one) if len(two) else 0, step):
+                rows = one[k : k + step]
+                hit = component[rows][:, None] != component[two][None, :]
+                if same:
+                    hit &= np.arange(len(two)) > np.arange(k, k + len(rows))[:, None]
+                if not hit.any():
+                    continue
+                hit &= ~refuted([own[x] for x in rows], theirs)
+                so_far = np.cumsum(hit, axis=1, dtype=np.int32)
+                more = so_far[:, -1] > most
+                x, y = np.nonzero(hit & (so_far <= most))
+                for m in range(0, len(x), MET_ROWS):
+                    a, b = nodes.take(pa.array(rows[x[m : m + MET_ROWS]])), nodes.take(pa.array(two[y[m : m + MET_ROWS]]))
+                    columns = [pa.array(np.full(len(a), bucket[part[0]])), pc.max_element_wise(a, b), pc.min_element_wise(a, b), pa.array(more[x[m : m + MET_ROWS]])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "u", "v", "more"])
 
     kind = open_.schema["node"].dataType.simpleString()
     rows = written(open_.drop("n").join(sketches.select("node", "sketch"), "node"), "bucket-sketches")
