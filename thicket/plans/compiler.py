@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,39 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _attribute(e: Any) -> Any | None:
+    """The column that an expression is, perhaps as a wider whole number."""
+    if e.getClass().getSimpleName() == "Cast" and {e.dataType().typeName(), e.child().dataType().typeName()} <= {"byte", "short", "integer", "long"}:
+        e = e.child()
+    return e if e.getClass().getSimpleName() == "AttributeReference" else None
+
+
+def comparisons(joined: DataFrame) -> list[tuple[str, str, str]] | None:
+    """(left frame's column, operator, right frame's column) of each part of a join's condition, or None if some part isn't such a comparison."""
+    plan = joined._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "Join" or not plan.condition().isDefined():
+        return None
+    signs = {"EqualTo": "=", "LessThan": "<", "LessThanOrEqual": "<=", "GreaterThan": ">", "GreaterThanOrEqual": ">="}
+    turned = {"=": "=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+    out, parts = [], [plan.condition().get()]
+    while parts:
+        e = parts.pop()
+        kind = e.getClass().getSimpleName()
+        if kind == "And":
+            parts += [e.left(), e.right()]
+        elif kind != "Literal" or e.toString() != "true":
+            a, b = (_attribute(e.left()), _attribute(e.right())) if kind in signs else (None, None)
+            if a is None or b is None:
+                return None
+            if plan.left().outputSet().contains(a) and plan.right().outputSet().contains(b):
+                out.append((a.name(), signs[kind], b.name()))
+            elif plan.left().outputSet().contains(b) and plan.right().outputSet().contains(a):
+                out.append((b.name(), turned[signs[kind]], a.name()))
+            else:
+                return None
+    return out
+
+
 class Level:
     """A compiled level: a frame with one row for each entity, and where its relations' results lie in it."""
 
@@ -242,11 +276,15 @@ class Compiler:
             return child
         orders = [o.sort(child.scope()) for o in spec.orders()] or [F.lit(1)]
         place = F.row_number().over(Window.partitionBy(*by).orderBy(*orders))
+        child.df = self._within(child.df.withColumn("__place", place), spec).drop("__place")
+        return child
+
+    @staticmethod
+    def _within(df: DataFrame, spec: QuerySpec) -> DataFrame:
         within = F.col("__place") > spec.offset
         if spec.limit is not None:
             within = within & (F.col("__place") <= spec.offset + spec.limit)
-        child.df = child.df.withColumn("__place", place).where(within).drop("__place")
-        return child
+        return df.where(within)
 
     def _equal(self, level: Level, key: str, c: Collection, child: Level, value: Column, orders: list[Order]) -> None:
         child_column, parent_column = self._sides(level, c, key)
@@ -284,15 +322,15 @@ class Compiler:
         renamed = {x: ref(n) for x, n in inner.items()}
         parents = level.df.select(*[ref(x) for x in level.raw], *[ref(f"{k}{SEPARATOR}{x}") for k, names in level.ones.items() for x in names])
         met = parents.join(kid, self._condition(level, c, key, renamed), "inner")
-        own = Level(child.spec, met, columns)
         scope = Scope(renamed, {child.spec.alias: renamed})
         if c.lateral and (c.child.limit is not None or c.child.offset):
             sort = [o.sort(scope) for o in c.child.orders()] or [F.lit(1)]
-            place = F.row_number().over(Window.partitionBy(*[ref(k) for k in keys]).orderBy(*sort))
-            within = F.col("__place") > c.child.offset
-            if c.child.limit is not None:
-                within = within & (F.col("__place") <= c.child.offset + c.child.limit)
-            met = own.df = met.withColumn("__place", place).where(within)
+            near = self._nearest(met, parents, kid, keys, c.child, inner, sort)
+            if near is None:
+                place = F.row_number().over(Window.partitionBy(*[ref(k) for k in keys]).orderBy(*sort))
+                met = self._within(met.withColumn("__place", place), c.child)
+            else:
+                met = near
         how = "inner" if c.filters else "left"
         by = [ref(k).alias(f"__key{i}") for i, k in enumerate(keys)]
         join = lambda df: level.df.join(df, [ref(k) == F.col(f"__key{i}") for i, k in enumerate(keys)], how).drop(*[f"__key{i}" for i in range(len(keys))])
@@ -307,6 +345,48 @@ class Compiler:
         level.ones[key] = columns
         level.results[key] = guarded(ref(name + "n"), ref(name)[SEPARATOR], c.mode, key)
 
+    def _nearest(self, met: DataFrame, parents: DataFrame, kid: DataFrame, keys: list[str], spec: QuerySpec, inner: Mapping[str, str], sort: list[Column]) -> DataFrame | None:
+        """A lateral child's matches within limit and offset, without making all matches; None if the condition has another form.
+
+        The condition has equalities and at most one inequality, which is on the column that the child is ordered by first. Then a
+        parent's matches are the end of its group in that order: their places follow from how many children come before the
+        parent, and only the children at the wanted places are joined.
+        """
+        found = comparisons(met)
+        if found is None:
+            return None
+        equal = [(a, b) for a, op, b in found if op == "="]
+        other = [(a, op, b) for a, op, b in found if op != "="]
+        orders = spec.orders()
+        if len(other) > 1 or not (equal or other):
+            return None
+        if other and not (orders and isinstance(orders[0].by, str) and inner.get(orders[0].by) == other[0][2] and orders[0].descending == (other[0][1][0] == ">")):
+            return None
+        for _, _, b in found:
+            kid = kid.where(ref(b).isNotNull())
+        kid = kid.withColumn("__place", F.row_number().over(Window.partitionBy(*[ref(b) for _, b in equal]).orderBy(*sort)))
+        on = [ref(a) == ref(b) for a, b in equal]
+        if not other:
+            return parents.join(self._within(kid, spec), on, "inner")
+        (a, op, b), groups = other[0], [f"__group{i}" for i in range(len(equal))]
+        for x, _, _ in found:
+            parents = parents.where(ref(x).isNotNull())
+        # Of equal values, children come before the parent if they don't match.
+        turn = F.lit(1 if op in "<>" else -1)
+        marks = parents.select(*[ref(x).alias(g) for (x, _), g in zip(equal, groups)], ref(a).alias("__value0"), turn.alias("__turn"), F.lit(0).alias("__kid"), *[ref(k) for k in keys])
+        own = kid.select(*[ref(x).alias(g) for (_, x), g in zip(equal, groups)], ref(b).alias("__value0"), F.lit(0).alias("__turn"), F.lit(1).alias("__kid"), *[F.lit(None).cast(parents.schema[k].dataType).alias(k) for k in keys])
+        group = Window.partitionBy(*[ref(g) for g in groups])
+        value = F.col("__value0").desc() if orders[0].descending else F.col("__value0").asc()
+        before = F.sum("__kid").over(group.orderBy(value, "__turn").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        marks = marks.unionByName(own).withColumn("__before", before).withColumn("__all", F.sum("__kid").over(group)).where("__kid = 0")
+        first, last = F.col("__before") + spec.offset + 1, F.col("__all")
+        if spec.limit is not None:
+            last = F.least(last, F.col("__before") + spec.offset + spec.limit)
+        wanted = marks.select("*", first.alias("__first"), last.alias("__last")).where("__first <= __last")
+        wanted = wanted.select(*groups, *[ref(k) for k in keys], F.explode(F.sequence("__first", "__last")).alias("__wanted"))
+        on = [ref(g) == ref(x) for (_, x), g in zip(equal, groups)]
+        return wanted.join(kid, [*on, F.col("__wanted") == F.col("__place")], "inner")
+
     def _fetched(self, level: Level) -> dict[str, DataFrame]:
         """What the fetch functions of a level give, each called once with all parents; they run at the same time."""
         attached = [(key, c) for key, c in level.spec.collections if c.method == "attach"]
