@@ -103,12 +103,12 @@ def nested_attach(e: Engine) -> DataFrame:
 @query("""select s_suppkey, s_nationkey, coalesce(string_agg(c_custkey, ',' order by c_custkey), '') as customers from supplier
   left join (select c_custkey, c_nationkey, c_custkey % 7 as bucket from customer) on c_nationkey = s_nationkey and bucket = s_suppkey % 7 group by all""")
 def composite_attach(e: Engine) -> DataFrame:
-    """Matched by two columns."""
+    """Matched by two columns; many suppliers share their customers, of which the text is made once."""
     suppliers = e.tables["supplier"].select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 7).alias("bucket"))
     found = e.tables["customer"].select("c_custkey", "c_nationkey", (F.col("c_custkey") % 7).alias("b"))
-    q = e.select_as("supplier", suppliers, "s_suppkey").attach_many("customers", lambda _: found, match_child=["c_nationkey", "b"], to_parent=["s_nationkey", "bucket"])
-    keys = F.sort_array(F.transform("customers", lambda c: c["c_custkey"])).cast("array<string>")
-    return q.nested_df().select("s_suppkey", "s_nationkey", F.array_join(keys, ",").alias("customers"))
+    text = lambda customers: F.array_join(F.sort_array(F.transform(customers, lambda c: c["c_custkey"])).cast("array<string>"), ",")
+    q = e.select_as("supplier", suppliers, "s_suppkey").attach_many("customers", lambda _: found, match_child=["c_nationkey", "b"], to_parent=["s_nationkey", "bucket"], fold=text)
+    return q.nested_df().select("s_suppkey", "s_nationkey", "customers")
 
 
 @query("select c_custkey, coalesce(string_agg(o_orderkey, ',' order by o_orderkey), '') as orders from customer left join (select * from orders where o_totalprice > 200000) on o_custkey = c_custkey where c_acctbal < 0 group by c_custkey")

@@ -25,7 +25,7 @@ class NestSpec(ShapeMethods):
 
     _shape: Shape = field(default_factory=lambda: Shape(fields=()))
     children: tuple[tuple[str, tuple[str, str, NestSpec]], ...] = ()  # key -> (mode, prefix, spec)
-    attached: tuple[tuple[str, tuple], ...] = ()  # key -> (mode, fetch, match_child, to_parent)
+    attached: tuple[tuple[str, tuple], ...] = ()  # key -> (mode, fetch, match_child, to_parent, fold)
     auto: bool = False
 
     def _with_shape(self, **changes: Any) -> NestSpec:
@@ -55,9 +55,9 @@ class NestSpec(ShapeMethods):
     def has_one_or_throw(self, key: str, prefix: str, child: Any) -> NestSpec:
         return self.has("one_or_throw", key, prefix, child)
 
-    def attach(self, mode: str, key: str, fetch: Callable, match_child: Any, to_parent: Any = None) -> NestSpec:
-        """Rows fetched once for the root's entities."""
-        what = (mode, fetch, key_tuple(match_child), key_tuple(to_parent) if to_parent else ())
+    def attach(self, mode: str, key: str, fetch: Callable, match_child: Any, to_parent: Any = None, fold: Callable | None = None) -> NestSpec:
+        """Rows fetched once for the root's entities; ``fold``: what becomes of their array."""
+        what = (mode, fetch, key_tuple(match_child), key_tuple(to_parent) if to_parent else (), fold)
         return replace(self, attached=tuple({**dict(self.attached), key: what}.items()))
 
     def map(self, fn: Callable[[Scope], Any]) -> NestSpec:
@@ -110,7 +110,7 @@ class NestSpec(ShapeMethods):
         return shaped(shape, scope, raw, results, self.auto)
 
     def _collected(self, df: DataFrame) -> dict[str, Column]:
-        return {key: self._result(df, key, mode) for key, (mode, _, _) in self.children} | {key: self._result(df, key, mode) for key, (mode, *_) in self.attached}
+        return {key: self._result(df, key, mode) for key, (mode, _, _) in self.children} | {key: (fold or (lambda x: x))(self._result(df, key, mode)) for key, (mode, *_, fold) in self.attached}
 
     @staticmethod
     def _result(df: DataFrame, key: str, mode: str) -> Column:
@@ -145,7 +145,7 @@ class NestSpec(ShapeMethods):
             links = {c: f"__on{SEPARATOR}{i}" for i, c in enumerate(by)}
             lists = kids.groupBy(*[ref(c).alias(n) for c, n in links.items()]).agg(array)
             made = made.join(lists, [ref(c).eqNullSafe(ref(n)) for c, n in links.items()], "left").drop(*links.values())
-        for key, (_, fetch, match_child, to_parent) in self.attached:
+        for key, (_, fetch, match_child, to_parent, _) in self.attached:
             made = self._attach(made, key, fetch, match_child, [prefix + p for p in to_parent] or keys, {c: c[len(prefix) :] for c in raw})
         return made, Scope({c[len(prefix) :]: ref(c) for c in raw})
 
@@ -176,7 +176,7 @@ def spec_of(spec: QuerySpec) -> NestSpec:
     out = NestSpec(replace(spec.shape, fields=spec.shape.fields or (), order_by_keys=keys_on), auto=spec.shape.fields is None)
     for key, c in spec.collections:
         if c.method == "attach":
-            out = out.attach(c.mode, key, c.child, c.match_child, c.to_parent or None)
+            out = out.attach(c.mode, key, c.child, c.match_child, c.to_parent or None, c.fold)
         else:
             out = replace(out, children=(*out.children, (key, (c.mode, key + SEPARATOR, spec_of(c.child)))))
     return out

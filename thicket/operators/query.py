@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import types as T
 
 from thicket.errors import NestedWriteError, NoResultError, UnknownCollectionError, translated
@@ -178,13 +178,16 @@ class Query(ShapeMethods):
     def cross_join_lateral_many(self, key: str, child: Any, *on: Any) -> Query:
         return self._relation(key, child, on, "many", "inner" if on else "cross", True)
 
-    def _attached(self, key: str, fetch: Callable, match_child: Any, to_parent: Any, mode: str) -> Query:
-        c = Collection(mode, "attach", fetch, match_child=key_tuple(match_child), to_parent=key_tuple(to_parent) if to_parent else ())
+    def _attached(self, key: str, fetch: Callable, match_child: Any, to_parent: Any, mode: str, fold: Callable | None = None) -> Query:
+        c = Collection(mode, "attach", fetch, match_child=key_tuple(match_child), to_parent=key_tuple(to_parent) if to_parent else (), fold=fold)
         return Query(self.spec.with_collection(key, c), self._tables)
 
-    def attach_many(self, key: str, fetch: Callable[[DataFrame], Any], match_child: Any, to_parent: Any = None) -> Query:
-        """Rows that ``fetch`` gives for all parents at once: a frame, a query, or Python rows."""
-        return self._attached(key, fetch, match_child, to_parent, "many")
+    def attach_many(self, key: str, fetch: Callable[[DataFrame], Any], match_child: Any, to_parent: Any = None, fold: Callable[[Column], Column] | None = None) -> Query:
+        """Rows that ``fetch`` gives for all parents at once: a frame, a query, or Python rows.
+
+        ``fold``: what becomes of the array of a parent's rows; done once for all parents that share the array.
+        """
+        return self._attached(key, fetch, match_child, to_parent, "many", fold)
 
     def attach_one(self, key: str, fetch: Callable[[DataFrame], Any], match_child: Any, to_parent: Any = None) -> Query:
         return self._attached(key, fetch, match_child, to_parent, "one")

@@ -7,7 +7,7 @@ meet the parents' keys first. With a page, children are first cut down to the pa
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
@@ -22,6 +22,9 @@ from thicket.plans.spec import SEPARATOR, Collection, QuerySpec, Scope, Shape
 #: A page of at most so many parents is broadcast to cut its children down.
 PAGE_BROADCAST = 10_000
 
+#: About so many parents meet an array in one place; arrays that more of them share go to several.
+SHARING = 64
+
 
 def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
@@ -297,7 +300,7 @@ class Compiler:
         if c.mode == "many":
             # A list of structs has no orderable type, so this is a sort- or object-hash aggregate after one exchange on the key.
             lists = child.df.where(on.isNotNull()).groupBy(on.alias(link)).agg(self._listed(child, value, orders).alias(name))
-            level.df = level.df.join(lists, parent == ref(link), how).drop(link)
+            level.df = self._shared(level, lists, [parent], [link], how, [_local(parent_column, level.spec.alias) or parent_column])
             kind = lists.schema[name].dataType
             level.results[key] = F.coalesce(ref(name), F.array().cast(kind)) if how == "left" else ref(name)
             return
@@ -313,6 +316,26 @@ class Compiler:
         name = f"{key}{SEPARATOR}"
         return df.select("*", *[ref(name)[x].alias(name + x) for x in columns])
 
+    @staticmethod
+    def _shared(level: Level, lists: DataFrame, parent: list[Column], links: list[str], how: str, names: Iterable[str]) -> DataFrame:
+        """Parents with their arrays, of which there is one for each value of ``links``.
+
+        Where the parents aren't one for each value, results are larger than what they are made from, and what a task makes doesn't show
+        in what it reads. So the parents of an array are dealt into parts of about SHARING, each with its copy of the array: results
+        are then at most about SHARING times what is read, and tasks are cut by that. No side is broadcast, else the parents stay
+        in as few tasks as they are read in.
+        """
+        keys = level.spec.shape.keys
+        if set(keys) <= set(names):
+            return level.df.join(lists, [p == ref(x) for p, x in zip(parent, links)], how).drop(*links)
+        sizes = level.df.groupBy(*[p.alias(f"__of{i}") for i, p in enumerate(parent)]).agg(F.ceil(F.count("*") / SHARING).cast("int").alias("__parts"))
+        of = [F.col(f"__of{i}") for i in range(len(parent))]
+        given = [f"__of{i}" for i in range(len(parent))] + ["__parts"]
+        copies = lists.join(sizes, [ref(x) == o for x, o in zip(links, of)], "inner").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop(*given)
+        dealt = level.df.join(sizes, [p == o for p, o in zip(parent, of)], "left").withColumn("__part", F.pmod(F.xxhash64(*[ref(k) for k in keys]), F.col("__parts")).cast("int")).drop(*given)
+        on = [*(p == ref(x) for p, x in zip(parent, links)), F.col("__part") == F.col("__copy")]
+        return dealt.join(copies.hint("merge"), on, how).drop(*links, "__part", "__copy")
+
     def _theta(self, level: Level, key: str, c: Collection, child: Level, value: Column, orders: list[Order]) -> None:
         """Any condition: the parents' columns meet the children, and the matches are aggregated by parent key."""
         name, keys = f"{key}{SEPARATOR}", list(level.spec.shape.keys)
@@ -418,10 +441,14 @@ class Compiler:
         listed = ordered_array([Order(lambda _: F.col("__at"))], Scope({}), _kinds(present, [F.col("__at"), value]), value)
         groups = present.groupBy(*[ref(m).alias(x) for m, x in zip(c.match_child, links)]).agg(listed.alias(name))
         to_parent = c.to_parent or level.spec.shape.keys
-        level.df = level.df.join(groups, [ref(p) == ref(x) for p, x in zip(to_parent, links)], "left").drop(*links)
         if c.mode == "many":
-            level.results[key] = F.coalesce(ref(name), F.array().cast(groups.schema[name].dataType))
+            none = F.array().cast(groups.schema[name].dataType)
+            if c.fold is not None:
+                groups = groups.withColumn(name, F.struct(c.fold(ref(name)).alias("folded")))
+            level.df = self._shared(level, groups, [ref(p) for p in to_parent], links, "left", to_parent)
+            level.results[key] = F.coalesce(ref(name), none) if c.fold is None else F.when(ref(name).isNull(), c.fold(none)).otherwise(ref(name)["folded"])
         else:
+            level.df = level.df.join(groups, [ref(p) == ref(x) for p, x in zip(to_parent, links)], "left").drop(*links)
             level.results[key] = guarded(F.size(F.coalesce(ref(name), F.array().cast(groups.schema[name].dataType))), F.get(ref(name), F.lit(0)), c.mode, key)
 
     # results

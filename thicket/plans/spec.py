@@ -83,6 +83,7 @@ class Collection:
     match_child: tuple[str, ...] = ()
     to_parent: tuple[str, ...] = ()
     changes: tuple[Callable, ...] = ()
+    fold: Callable | None = None  # what becomes of an attach's arrays
 
     @property
     def filters(self) -> bool:
