@@ -27,3 +27,19 @@ def test_hot_keys_are_joined_too(spark):
     groups = rows.groupBy("key").count().withColumnRenamed("count", "n")
     out = join_back(rows, groups, "key")
     assert out.count() == rows.count() and out.where("key = 1 and n = 500").count() == 500
+
+
+def test_nodes_with_one_edge_are_set_aside(spark, monkeypatch):
+    """Of pairs and stars nothing is left for rounds of stars, however many there are."""
+    monkeypatch.setattr("thicket.llm.components._stars", None)
+    edges = [(10_000 + k, k) for k in range(400)] + [(500, 20_000 + k) for k in range(300)]
+    got = sorted(map(tuple, components(spark.createDataFrame(edges, "u long, v long"), 0).collect()))
+    assert got == sorted([(x, k) for k in range(400) for x in (k, 10_000 + k)] + [(500, 500)] + [(20_000 + k, 500) for k in range(300)])
+
+
+def test_more_links_join_groups(spark):
+    from thicket.llm.linked import _joined
+
+    labels = spark.createDataFrame([(1, 1), (5, 1), (2, 2), (6, 2), (3, 3), (7, 3)], "node long, label long")
+    found = spark.createDataFrame([(6, 5), (9, 7), (11, 10), (5, 1)], "u long, v long")
+    assert sorted(map(tuple, _joined(labels, found).collect())) == [(1, 1), (2, 1), (3, 3), (5, 1), (6, 1), (7, 3), (9, 3), (10, 10), (11, 10)]
